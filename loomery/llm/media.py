@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import columns, ship
@@ -285,15 +285,14 @@ def describe(s: Stream) -> str:
     return (f"mpeg{h.version}-layer{h.layer}" if h else "none") + f";hz={s.rate};frames={len(s.offsets)};samples={s.samples};crc={s.crc_frames - s.crc_bad}/{s.crc_frames};vbr={s.vbr.get('kind', '-')}:{s.vbr.get('frames', 0)};tags={len(s.tags)};skipped={s.skipped};seek={seek:08x}"
 
 
-@F.pandas_udf("binary")
-def to_media(text: pd.Series) -> pd.Series:
-    """A media column from texts."""
+def _to_media(text: pd.Series) -> pd.Series:
     return text.map(lambda t: write(payload_of(t)), na_action=None)
 
 
-@F.pandas_udf("version string, layer int, hz int, frames long, samples long, duration_s double, crc_frames long, crc_bad long, skipped long, tags map<string,string>, seek_offsets array<long>")
-def probe(media: pd.Series) -> pd.DataFrame:
-    """What parse() finds in each media value; null and empty media have no frames. samples / hz is the exact duration."""
+PROBE = ("version string, layer int, hz int, frames long, samples long, duration_s double, crc_frames long, crc_bad long, skipped long, tags map<string,string>, seek_offsets array<long>")
+
+
+def _probe(media: pd.Series) -> pd.DataFrame:
     rows = []
     for data in media:
         s = parse(data)
@@ -302,9 +301,10 @@ def probe(media: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["version", "layer", "hz", "frames", "samples", "duration_s", "crc_frames", "crc_bad", "skipped", "tags", "seek_offsets"])
 
 
-@F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-def digest(media: pd.Series) -> pd.DataFrame:
-    """Of stored media: the payload read back, as sizes and hashes, and the stream's features."""
+DIGEST = ("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def _digest(media: pd.Series) -> pd.DataFrame:
     rows = []
     for data in media:
         s = parse(data)
@@ -313,6 +313,21 @@ def digest(media: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
+def to_media(text: str) -> Column:
+    """A media column from texts."""
+    return F.pandas_udf(_to_media, "binary")(text)
+
+
+def probe(media: str) -> Column:
+    """What parse() finds in each media value; null and empty media have no frames. samples / hz is the exact duration."""
+    return F.pandas_udf(_probe, PROBE)(media)
+
+
+def digest(media: str) -> Column:
+    """Of stored media: the payload read back, as sizes and hashes, and the stream's features."""
+    return F.pandas_udf(_digest, DIGEST)(media)
+
+
 def stored(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the media column of each text. A null text counts as empty; ids may be null or repeat."""
     ship(spark)
