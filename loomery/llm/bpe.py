@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import regex
@@ -184,53 +186,77 @@ class Trie:
         return out
 
 
+_GAP = re.compile(r" (?=\s|$)")
+_MARKS = frozenset(".,;:!?")
+
+
 class Encoder:
-    """Texts to tokens, with what each unit gave kept for the next texts."""
+    """Texts to tokens, with what each unit gave kept for the next texts.
+
+    Texts are cut at each space before something other than white space, where words always meet too. A
+    unit is kept without that space, in a table of its own; the text before the first cut is in the other.
+    """
 
-    def __init__(self, path: str, words=None):
-        """words: another way to the tokens of a list of words (bytes), with the same results."""
-        self.v = Vocabulary(path)
+    def __init__(self, path: str, value, words=None):
+        """value(tokens): what to keep of a unit. words: another way to the tokens of a list of words (bytes)."""
+        self.v, self.value = Vocabulary(path), value
         self.words = words(self.v) if words else Trie(self.v).encode
-        self.units: dict[str, object] = {}
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True))) + ")") if self.v.special else None
+        self.first: dict[str, object] = {}
+        self.spaced: dict[str, object] = {}
+        special = sorted(self.v.special, key=len, reverse=True)
+        self.specials = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        """Units that meet at a space before other than white space, where words always meet too."""
+        """The units: the first as it is, the others without the space before them."""
         parts = text.split(" ")
+        if _GAP.search(text) is None:
+            return parts
         out = [parts[0]]
         for p in parts[1:]:
             if p and not p[0].isspace():
-                out.append(" " + p)
+                out.append(p)
             else:
                 out[-1] += " " + p
-        return out if out[0] else out[1:]
+        return out
 
-    def prepare(self, texts: list[str], value) -> list[list]:
-        """For each text its units' values, where value(tokens) is made once for each distinct unit."""
-        if len(self.units) > KEEP_UNITS:
-            self.units.clear()
-        cut, special = [], self.v.special
+    @staticmethod
+    def words_of(unit: str, lead: str) -> list[str]:
+        if unit.isalpha():
+            return [lead + unit]
+        if unit[-1:] in _MARKS and unit[:-1].isalpha():
+            return [lead + unit[:-1], unit[-1]]
+        return _PATTERN.findall(lead + unit)
+
+    def prepare(self, texts: list[str]) -> list[list]:
+        """For each text its units' values."""
+        if len(self.first) + len(self.spaced) > KEEP_UNITS:
+            self.first.clear()
+            self.spaced.clear()
+        special, cuts = self.v.special, []
         for t in texts:
-            if special and any(s in t for s in special):
-                us = []
-                for piece in self.specials.split(t):
-                    us += [piece] if piece in special else self.cut(piece) if piece else []
+            if special and "<|" in t and any(s in t for s in special):
+                cuts.append([p if p in special else self.cut(p) for p in self.specials.split(t) if p])
             else:
-                us = self.cut(t)
-            cut.append(us)
-        known = self.units
-        new = {u for us in cut for u in us if u not in known}
-        words = {u: _PATTERN.findall(u) for u in new if u not in special}
-        made = self.words(list({w.encode("utf-8", "surrogatepass") for ws in words.values() for w in ws}))
-        for u, ws in words.items():
-            known[u] = value([t for w in ws for t in made[w.encode("utf-8", "surrogatepass")]])
-        for u in new - words.keys():
-            known[u] = value([special[u]])
-        return [[known[u] for u in us] for us in cut]
-
-
-_encoders: dict[tuple, Encoder] = {}
+                cuts.append([self.cut(t)] if t else [])
+        runs = [r for c in cuts for r in c if isinstance(r, list)]
+        new = [("", u) for u in {r[0] for r in runs} if u not in self.first]
+        new += [(" ", u) for u in set().union(*(r[1:] for r in runs)) if u not in self.spaced]
+        words = [[w.encode("utf-8", "surrogatepass") for w in self.words_of(u, lead)] for lead, u in new]
+        made, value = self.words(list({w for ws in words for w in ws})), self.value
+        for (lead, u), ws in zip(new, words, strict=True):
+            (self.spaced if lead else self.first)[u] = value(made[ws[0]] if len(ws) == 1 else [t for w in ws for t in made[w]])
+        first, spaced, out = self.first, self.spaced, []
+        for c in cuts:
+            got = []
+            for r in c:
+                if isinstance(r, str):
+                    got.append(value([special[r]]))
+                    continue
+                got.append(first[r[0]])
+                got += [spaced[u] for u in islice(r, 1, None)]
+            out.append(got)
+        return out
 
 
 def by_library(vocabulary: Vocabulary):
@@ -238,12 +264,16 @@ def by_library(vocabulary: Vocabulary):
     import tiktoken
 
     e = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=vocabulary.ids, special_tokens={})
-    return lambda words: {w: e.encode_single_piece(w) if hasattr(e, "encode_single_piece") else e._encode_single_piece(w) for w in words}
+    return lambda words: {w: e._encode_single_piece(w) for w in words}
+
+
+_encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, use: str, words=None) -> Encoder:
+def encoder(path: str, use: str, value, words=None) -> Encoder:
+    """This worker's encoder for a use, which fixes value and words."""
     if (path, use) not in _encoders:
-        _encoders[path, use] = Encoder(path, words)
+        _encoders[path, use] = Encoder(path, value, words)
     return _encoders[path, use]
 
 
@@ -264,11 +294,11 @@ def encode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     ship(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(path, "ids")
+        e = encoder(path, "ids", tuple)
         for b in batches:
             texts = b["text"].fillna("").tolist()
             for lo, hi in blocks(texts):
-                ids = [[t for u in us for t in u] for us in e.prepare(texts[lo:hi], tuple)]
+                ids = [[t for u in us for t in u] for us in e.prepare(texts[lo:hi])]
                 yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi], "ids": ids})
 
     d = columns(docs, "doc_id", "text")
@@ -284,16 +314,16 @@ def report(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     ship(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(path, "digest")
-        spell = lambda ts: (len(ts), ",".join(map(str, ts)), b"".join([e.v.bytes[t] for t in ts]))
+        e = encoder(path, "digest", lambda ts: ts)
+        e.value = lambda ts, v=e.v: (",".join(map(str, ts)), b"".join([v.bytes[t] for t in ts]).decode("utf-8", "replace"))
         for b in batches:
             texts = b["text"].fillna("").tolist()
             for lo, hi in blocks(texts):
                 rows = []
-                for us in e.prepare(texts[lo:hi], spell):
-                    n, said, raw = zip(*us, strict=True) if us else ((), (), ())
-                    back = b"".join(raw).decode("utf-8", "replace").encode()
-                    rows.append((sum(n), hashlib.sha256(",".join(said).encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
+                for us in e.prepare(texts[lo:hi]):
+                    said = ",".join([u[0] for u in us if u[0]])
+                    back = "".join([u[1] for u in us])
+                    rows.append((said.count(",") + 1 if said else 0, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
                 yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=b["doc_id"].iloc[lo:hi].to_numpy())[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
 
     d = columns(docs, "doc_id", "text")

@@ -8,6 +8,7 @@ both in shares of the limits; if none fits, the next sequence is opened.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -60,13 +61,12 @@ def pieces(spark: SparkSession, docs: DataFrame, path: str, tokens: int = TOKENS
     ship(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(path, "bytes", by_library)
-        value = lambda ts: np.array(ts, "<u4").tobytes()
+        e = encoder(path, "bytes", lambda ts: struct.pack(f"<{len(ts)}I", *ts), by_library)
         for b in batches:
             texts = b["text"].fillna("").tolist()
             for lo, hi in blocks(texts):
                 rows = []
-                for us in e.prepare(texts[lo:hi], value):
+                for us in e.prepare(texts[lo:hi]):
                     raw = b"".join(us) + bytes(4)
                     n = len(raw) // 4
                     cut = range(0, n, tokens)

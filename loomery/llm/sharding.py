@@ -76,13 +76,16 @@ def interleave(spark: SparkSession, docs: DataFrame, shards: int = 8, seed: int
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+_CRC = []
+for _i in range(256):
+    _c = _i
+    for _ in range(8):
+        _c = 0xEDB88320 ^ _c >> 1 if _c & 1 else _c >> 1
+    _CRC.append(_c)
+
 #: The same in DuckDB's SQL, without crc32, which it lacks as a function: it is folded over the text's bytes.
 ORACLE_SQL = f"""
-WITH RECURSIVE tab AS (
-  SELECT list(v ORDER BY n) AS t FROM (
-    SELECT n, list_reduce(list_prepend(n::BIGINT, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS v
-    FROM range(256) r(n))),
-base AS (
+WITH base AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(strlen(text), 0) + 1 AS size, coalesce(text, '') AS text,
          md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 hexed AS (SELECT *, hex(encode(text)) AS x FROM base),
@@ -90,7 +93,7 @@ crcs AS (
   SELECT doc_id, source, size, h,
     xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
         list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
-      lambda a, b: xor(a >> 8, (SELECT t FROM tab)[(xor(a, b) & 255) + 1]))) AS text_crc32 FROM hexed),
+      lambda a, b: xor(a >> 8, {_CRC}[(xor(a, b) & 255) + 1]))) AS text_crc32 FROM hexed),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id, size, text_crc32) - 1 AS r,
     count(*) OVER (PARTITION BY source) AS n,
