@@ -11,14 +11,13 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
 from itertools import islice
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import columns, ship
+from .common import map_texts
 
 _PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Units (words with what surrounds them) and trie nodes that a worker keeps; beyond that it starts afresh.
@@ -277,32 +276,14 @@ def encoder(path: str, use: str, value, words=None) -> Encoder:
     return _encoders[path, use]
 
 
-def blocks(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of texts with about so many characters, at least one text in each."""
-    lo = n = 0
-    for i, t in enumerate(texts):
-        if n and n + len(t) > most:
-            yield lo, i
-            lo, n = i, 0
-        n += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def encode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and `ids` array<int> of every whole text; null and empty texts have no ids."""
-    ship(spark)
+    """doc_id and `ids` array<int> of every whole text; null and empty texts have no ids, null doc_ids stay null."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         e = encoder(path, "ids", tuple)
-        for b in batches:
-            texts = b["text"].fillna("").tolist()
-            for lo, hi in blocks(texts):
-                ids = [[t for u in us for t in u] for us in e.prepare(texts[lo:hi])]
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi], "ids": ids})
+        return lambda texts: [[[t for u in us for t in u] for us in e.prepare([t or "" for t in texts])]]
 
-    d = columns(docs, "doc_id", "text")
-    return d.mapInPandas(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return map_texts(docs, ["doc_id"], make, StructType([StructField("ids", ArrayType(IntegerType()))]))
 
 
 def decode(ids: list[int], vocabulary: Vocabulary) -> str:
@@ -310,21 +291,25 @@ def decode(ids: list[int], vocabulary: Vocabulary) -> str:
 
 
 def report(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256 of every row, in one pass."""
-    ship(spark)
+    """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256 of every row, in one pass.
+
+    Repeated rows give repeated results. A unit's tokens are decoded once; whole characters end where units do.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         e = encoder(path, "digest", lambda ts: ts)
         e.value = lambda ts, v=e.v: (",".join(map(str, ts)), b"".join([v.bytes[t] for t in ts]).decode("utf-8", "replace"))
-        for b in batches:
-            texts = b["text"].fillna("").tolist()
-            for lo, hi in blocks(texts):
-                rows = []
-                for us in e.prepare(texts[lo:hi]):
-                    said = ",".join([u[0] for u in us if u[0]])
-                    back = "".join([u[1] for u in us])
-                    rows.append((said.count(",") + 1 if said else 0, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
-                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=b["doc_id"].iloc[lo:hi].to_numpy())[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
-
-    d = columns(docs, "doc_id", "text")
-    return d.mapInPandas(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+        def of(texts: list) -> list[list]:
+            n, said_by, back_by = [], [], []
+            for us in e.prepare([t or "" for t in texts]):
+                said = ",".join([u[0] for u in us if u[0]])
+                n.append(said.count(",") + 1 if said else 0)
+                said_by.append(hashlib.sha256(said.encode()).hexdigest())
+                back_by.append(hashlib.sha256("".join([u[1] for u in us]).encode("utf-8", "surrogatepass")).hexdigest())
+            return [n, said_by, back_by]
+
+        return of
+
+    fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+    return map_texts(docs, ["doc_id"], make, StructType(fields))

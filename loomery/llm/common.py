@@ -6,11 +6,14 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: Rows up to which a table that has been counted may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -133,5 +136,35 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def as_list(xs: Iterable) -> list:
-    return list(xs)
+def blocks(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about so many characters, at least one text in each."""
+    lo = n = 0
+    for i, t in enumerate(texts):
+        size = len(t) if t else 0
+        if n and n + size > most:
+            yield lo, i
+            lo, n = i, 0
+        n += size
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
+def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list], list[list]]], fields: StructType, text: str = "text") -> DataFrame:
+    """Columns `keep` as they are, and new ones: make() runs once in a task, and what it returns turns whole texts into columns.
+
+    Arrow batches go through in runs of bounded size; kept columns aren't converted, so no type loses anything.
+    """
+    ship(df.sparkSession)
+    d = columns(df, *dict.fromkeys([*keep, text]))
+    schema = StructType([d.schema[n] for n in keep] + fields.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text)).to_pylist()
+            for lo, hi in blocks(texts):
+                new = [pa.array(x, type=to_arrow_type(f.dataType)) for x, f in zip(of(texts[lo:hi]), fields.fields, strict=True)]
+                old = [b.column(b.schema.get_field_index(n)).slice(lo, hi - lo) for n in keep]
+                yield pa.RecordBatch.from_arrays(old + new, names=schema.names)
+
+    return d.mapInArrow(run, schema)

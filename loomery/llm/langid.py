@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import columns, ship
+from .common import columns, map_texts, ship
 
 DIM, N = 1024, 3
 #: A model is fitted on about so many rows at most: those whose hash falls below this share of all.
@@ -122,7 +122,8 @@ def fit(spark: SparkSession, docs: DataFrame) -> tuple[list[str], np.ndarray]:
             v, langs = space().vectors(b["text"].tolist()), b["lang"].to_numpy()
             for lang in set(langs):
                 sums[lang] = sums.get(lang, 0) + v[langs == lang].sum(0, dtype=np.float64)
-        yield pd.DataFrame({"lang": list(sums), "v": list(sums.values())}, columns=["lang", "v"])
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "v": list(sums.values())})
 
     out = d.select("text", "lang").mapInPandas(bundle, "lang string, v array<double>")
     out = out.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
@@ -140,23 +141,29 @@ def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.nda
 
     A text that is null or has no letter is `und` with score 0. Equal cosines go to the first language by name.
     """
-    ship(spark)
-    keep = keep or ["doc_id"]
     held_by = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         langs, protos = held_by.value
         names = np.array([*langs, "und"], object)
-        for b in batches:
-            v = space().vectors(b["text"].tolist())
+
+        def of(texts: list) -> list[list]:
+            v = space().vectors(texts)
             none = ~v.any(1)
             cos = v @ protos.T if langs else np.zeros((len(v), 1), np.float32)
             best = np.where(none | (not langs), len(langs), cos.argmax(1))
-            yield b[keep].assign(lang_pred=names[best], score=np.where(none, 0.0, np.clip(cos.max(1), 0, 1)).astype(float))
+            return [names[best].tolist(), np.where(none, 0.0, np.clip(cos.max(1), 0, 1)).astype(float).tolist()]
+
+        return of
+
+    return map_texts(docs, keep or ["doc_id"], make, StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+
 
-    d = columns(docs, *dict.fromkeys([*keep, "text"]))
-    schema = StructType([d.schema[n] for n in keep] + [StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return d.mapInPandas(run, schema)
+def with_language(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs without the rows that have no language (`und`: no text, or no letter in it); all columns stay."""
+    packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), F.col("text"))
+    out = predict(spark, packed, fit(spark, docs), ["row"])
+    return out.where("lang_pred <> 'und'").select("row.*")
 
 
 def report(spark: SparkSession, docs: DataFrame) -> DataFrame:

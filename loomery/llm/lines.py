@@ -35,25 +35,28 @@ def _key(line: Column) -> Column:
 
 
 def drop_boilerplate(spark: SparkSession, pages: DataFrame, host: str, lines: str, percent: int = RATIO_PERCENT,
-                     min_pages: int = MIN_PAGES, scratch: Scratch | None = None) -> DataFrame:
+                     min_pages: int = MIN_PAGES, copies_once: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """pages without the lines that stand on over percent % of the host's pages, for hosts of min_pages or more.
 
     `lines` is an array column; it comes back filtered, with `host_pages` and `n_dropped` added. A line counts
     once a page, compared exactly up to 128-bit hashes; a null host is the empty host, null lines are none.
-    Repeated pages count each time. The first shuffle sends counts summed in each task, so a host with a third
+    Repeated pages count each time, or once a host with `copies_once`, so that copies don't make lines boilerplate. The first shuffle sends counts summed in each task, so a host with a third
     of all pages, or a line on all of them, is no burden. A host has at most (mean lines a page) / ratio such
     lines, so a host's list is bounded; the lists of all hosts are broadcast only if counted to be few.
     """
     scratch = scratch or Scratch(spark, "lines")
     p = pages.withColumn(host, F.coalesce(host, F.lit(""))).withColumn(lines, F.coalesce(lines, F.array().cast("array<string>")))
-    totals = scratch.save(p.groupBy(host).agg(F.count("*").alias("host_pages")))
+    each = p.select(host, F.array_distinct(F.transform(lines, _key)).alias("ks"))
+    if copies_once:
+        each = scratch.save(each.groupBy(host, F.xxhash64("ks").alias("_a"), F.xxhash64(F.lit(7), "ks").alias("_b")).agg(F.first("ks").alias("ks")))
+    totals = scratch.save(each.groupBy(host).agg(F.count("*").alias("host_pages")))
     n_hosts = totals.count()
-    seen = p.select(host, F.explode(F.array_distinct(F.transform(lines, _key))).alias("k"))
+    seen = each.select(host, F.explode("ks").alias("k"))
     counts = seen.groupBy(host, "k").agg(F.count("*").alias("n")).where("n > 1")
     bad = counts.join(bounded(totals.where(f"host_pages >= {min_pages}"), n_hosts), host).where(f"n * 100 > host_pages * {percent}")
     bad = scratch.save(bad.groupBy(host).agg(F.collect_list("k").alias("_bad")))
     n_bad = bad.select(F.coalesce(F.sum(F.size("_bad")), F.lit(0))).first()[0]
-    out = p.join(bounded(totals, n_hosts), host).join(bounded(bad, n_bad), host, "left")
+    out = p.join(bounded(totals, n_hosts), host, "left").join(bounded(bad, n_bad), host, "left")
     kept = F.when(F.col("_bad").isNull(), F.col(lines)).otherwise(F.filter(lines, lambda s: ~F.array_contains(F.col("_bad"), _key(s))))
     return out.withColumn("_kept", kept).withColumn("n_dropped", F.size(lines) - F.size("_kept")).drop("_bad", lines).withColumnRenamed("_kept", lines)
 
@@ -94,10 +97,9 @@ def documents_without_boilerplate(spark: SparkSession, docs: DataFrame, percent:
     Lines that stay keep their spaces; a null text stays null. n_chars, if there, follows the new text.
     """
     names = docs.columns
-    d = docs.withColumn("_host", F.coalesce("source", F.lit(""))).withColumn("_lines", F.split("text", "\n"))
-    out = drop_boilerplate(spark, d, "_host", "_lines", percent, min_pages)
-    text = F.when(F.col("text").isNotNull(), F.array_join("_lines", "\n"))
-    out = out.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*names)
+    row = F.struct(*[F.col(f"`{n}`") for n in names]).alias("row")
+    d = docs.select(row, F.coalesce("source", F.lit("")).alias("host"), F.split("text", "\n").alias("lines"))
+    out = drop_boilerplate(spark, d, "host", "lines", percent, min_pages, copies_once=True)
+    text = F.when(F.col("row.text").isNotNull(), F.when(F.col("n_dropped") > 0, F.array_join("lines", "\n")).otherwise(F.col("row.text")))
+    new = {"text": text, "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return out.select(*[new.get(n, F.col(f"row.`{n}`")).alias(n) for n in names])

@@ -20,10 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import Scratch, bounded, columns, mix64, ship, word_hashes
+from .common import Scratch, bounded, columns, map_texts, mix64, word_hashes
 
 BANDS, ROWS, SMALL = 32, 4, 16
 
@@ -114,21 +115,14 @@ class NearDup:
 
     def sketch(self, docs: DataFrame) -> DataFrame:
         """doc_id, n (set size), v (vertex; null for the empty set) and the set's bands."""
-        ship(self.spark)
         words = self.words
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                n, v, keys = [], [], []
-                for text in b["text"]:
-                    s = shingle_set(text, words)
-                    n.append(len(s))
-                    v.append(vertex(s) if len(s) else None)
-                    keys.append(bands(signature(s)) if len(s) else None)
-                yield pd.DataFrame({"doc_id": b["doc_id"], "n": n, "v": pd.array(v, "Int64"), "bands": keys})
+        def of(texts: list) -> list[list]:
+            sets = [shingle_set(t, words) for t in texts]
+            return [[len(s) for s in sets], [vertex(s) if len(s) else None for s in sets], [bands(signature(s)) if len(s) else None for s in sets]]
 
-        d = columns(docs, "doc_id", "text")
-        return d.mapInPandas(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n long, v long, bands array<long>")
+        fields = [StructField("n", LongType()), StructField("v", LongType()), StructField("bands", ArrayType(LongType()))]
+        return map_texts(docs, ["doc_id"], lambda: of, StructType(fields))
 
     def sets(self, docs: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
         """(v, s) of the wanted vertices (v, rep): their sets again, from the texts of the documents rep."""
@@ -203,8 +197,6 @@ class NearDup:
         mine = scratch.save(sets.join(hot, "v", "left_semi").mapInPandas(spell, "v long, n long, t long"))
         often = mine.groupBy("t").agg(F.count("*").alias("f")).where("f > 1")
         known = mine.join(often, "t")
-        from pyspark.sql import Window
-
         place = F.col("n") - F.count("*").over(Window.partitionBy("v")) + F.row_number().over(Window.partitionBy("v").orderBy("f", "t")) - 1
         prefix = known.withColumn("pos", place).where(f"(n - pos) * 100 >= n * {percent}")
         prefix = scratch.save(prefix.select("t", "v", "n", "pos"))

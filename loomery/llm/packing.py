@@ -10,15 +10,15 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .bpe import blocks, by_library, encoder
-from .common import Scratch, columns, parts, ship
+from .bpe import by_library, encoder
+from .common import Scratch, map_texts, parts
 
 TOKENS, SEGMENTS = 1024, 64
 
@@ -58,24 +58,23 @@ def pieces(spark: SparkSession, docs: DataFrame, path: str, tokens: int = TOKENS
 
     All ids but the end id bear loss. Null texts are empty: one piece with just the end id.
     """
-    ship(spark)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         e = encoder(path, "bytes", lambda ts: struct.pack(f"<{len(ts)}I", *ts), by_library)
-        for b in batches:
-            texts = b["text"].fillna("").tolist()
-            for lo, hi in blocks(texts):
-                rows = []
-                for us in e.prepare(texts[lo:hi]):
-                    raw = b"".join(us) + bytes(4)
-                    n = len(raw) // 4
-                    cut = range(0, n, tokens)
-                    rows.append((n, [{"start": s, "length": min(tokens, n - s), "ids_crc32": zlib.crc32(raw[4 * s : 4 * (s + tokens)]), "loss": min(tokens, n - s) - (s + tokens >= n)} for s in cut]))
-                yield pd.DataFrame(rows, columns=["doc_tokens", "pieces"]).assign(doc_id=b["doc_id"].iloc[lo:hi].to_numpy())[["doc_id", "doc_tokens", "pieces"]]
-
-    d = columns(docs, "doc_id", "text")
-    kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInPandas(run, f"doc_id {kind}, doc_tokens long, pieces array<struct<start:long,length:long,ids_crc32:long,loss:long>>")
+
+        def of(texts: list) -> list[list]:
+            sizes, out = [], []
+            for us in e.prepare([t or "" for t in texts]):
+                raw = b"".join(us) + bytes(4)
+                n = len(raw) // 4
+                sizes.append(n)
+                out.append([{"start": s, "length": min(tokens, n - s), "ids_crc32": zlib.crc32(raw[4 * s : 4 * (s + tokens)]), "loss": min(tokens, n - s) - (s + tokens >= n)} for s in range(0, n, tokens)])
+            return [sizes, out]
+
+        return of
+
+    piece = StructType([StructField(n, LongType()) for n in ("start", "length", "ids_crc32", "loss")])
+    return map_texts(docs, ["doc_id"], make, StructType([StructField("doc_tokens", LongType()), StructField("pieces", ArrayType(piece))]))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, path: str, tokens: int = TOKENS, segments: int = SEGMENTS,
@@ -107,8 +106,6 @@ def pack_documents(spark: SparkSession, docs: DataFrame, path: str, tokens: int
     filled = rest.withColumn("g", F.pmod(key, F.lit(groups)).cast("long")).groupBy("g").applyInPandas(fill, out)
     # Full pieces are numbered downwards from -1 within the order of their keys' groups, apart from the packed ones.
     n = parts(spark, full.count(), group_rows)
-    from pyspark.sql import Window
-
     g = F.pmod(key, F.lit(n)).cast("long")
     row = F.row_number().over(Window.partitionBy("g").orderBy("doc_id", "start", "ids_crc32"))
     alone = full.withColumn("g", g).withColumn("sequence_id", -(F.col("g") * (group_rows * 64) + row).cast("long"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hamming, langid, lines, media, packing, sharding, toxicity
+from . import bpe, hamming, langid, lines, media, neardup, packing, sharding, toxicity
 
 
 def vocabulary_path() -> str:
@@ -29,6 +29,10 @@ def op2_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.report(spark, _table(spark, sf_dir, "documents"))
 
 
+def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.NearDup(spark, words=3, percent=85).groups(_table(spark, sf_dir, "documents"))
+
+
 def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", hamming.sign_code("embedding").alias("code"))
     return hamming.top_k(spark, rows, rows.where(F.col("vec_id") % 20 == 0), k=10)
@@ -55,7 +59,7 @@ def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_stratified_interleaving, op2_mpeg_audio, op4_multi_index_hashing, op6_site_lines, op7_lexicon_automata, op8_vector_packing, op9_trie_bpe, op10_hyperdimensional_langid]
+    found = [op1_stratified_interleaving, op2_mpeg_audio, op3_circulant_minhash, op4_multi_index_hashing, op6_site_lines, op7_lexicon_automata, op8_vector_packing, op9_trie_bpe, op10_hyperdimensional_langid]
     return {f.__name__: f for f in found}
 
 

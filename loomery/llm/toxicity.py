@@ -11,13 +11,15 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Scratch, columns, ship
+from .common import Scratch, columns, map_texts, ship
 
 #: Labelled rows that a model is fitted on at most, those with the smallest hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -110,17 +112,32 @@ class Trie:
         return (best[0], best[1]) if best[0] >= 0 else (-1, 0)
 
 
+@dataclass
+class Model:
+    """terms: weights of the lexicon's words. unseen: of new variants of each. variants: of words that training texts hold, 0 if not abuse. table: score by points."""
+
+    terms: dict[str, float]
+    unseen: dict[str, float] = field(default_factory=dict)
+    variants: dict[str, float] = field(default_factory=dict)
+    table: list[float] = field(default_factory=list)
+
+
 class Scorer:
-    def __init__(self, terms: dict[str, float], table: list[float] | None = None):
-        self.trie, self.table = Trie(terms), table
-        self.known: dict[str, tuple[int, int]] = {}
+    def __init__(self, model: Model):
+        self.model, self.trie = model, Trie(model.terms)
+        self.known: dict[str, tuple[int, int, float]] = {}
 
     def learn_words(self, words: set[str]) -> None:
         if len(self.known) > 1_000_000:
             self.known.clear()
         new = [w for w in words if w not in self.known]
         for w, may in zip(new, self.trie.may_match(new), strict=True):
-            self.known[w] = self.trie.find(w) if may else (-1, 0)
+            term, edits = self.trie.find(w) if may else (-1, 0)
+            weight = 0.0
+            if term >= 0:
+                name = self.trie.terms[term]
+                weight = self.trie.weights[term] if not edits else self.model.variants.get(w, self.model.unseen.get(name, 0.0) * (1.25 - 0.25 * edits))
+            self.known[w] = (term, edits, weight) if weight > 0 else (-1, 0, 0.0)
 
     def hits(self, text: str) -> list[tuple[int, int, int, int, int, float]]:
         """Of each hit: start, end, token number, term, edits, window score."""
@@ -132,12 +149,12 @@ class Scorer:
             return []
         found = [(i, m.start(), m.end(), *self.known[m.group()]) for i, m in enumerate(_TOKEN.finditer(low)) if self.known[m.group()][0] >= 0]
         out = []
-        for i, a, b, term, edits in found:
+        for i, a, b, term, edits, weight in found:
             line = low.rfind("\n", 0, a) + 1
             quoted = len(_QUOTES.findall(low, line, a)) % 2 == 1 and _QUOTES.search(low, b, b + 400) is not None
             told = _REPORT.search(low[max(line, a - 40) : a]) is not None
             near = sum(1 for x in found if 0 < abs(x[0] - i) <= WINDOW)
-            score = self.trie.weights[term] * (1 - 0.25 * edits) * (0.3 if quoted or told else 1.0) * (1 + 0.25 * min(near, 4))
+            score = weight * (0.3 if quoted or told else 1.0) * (1 + 0.25 * min(near, 4))
             out.append((a, b, i, term, edits, score))
         return out
 
@@ -145,7 +162,7 @@ class Scorer:
         return sum(h[-1] for h in self.hits(text)) if text else 0.0
 
     def score(self, points: float) -> float:
-        return self.table[int(np.searchsorted(EDGES, points, "right")) - 1]
+        return self.model.table[int(np.searchsorted(EDGES, points, "right")) - 1]
 
 
 def monotone(good: list[float], bad: list[float]) -> list[float]:
@@ -159,12 +176,14 @@ def monotone(good: list[float], bad: list[float]) -> list[float]:
     return [b / (g + b) for g, b, n in blocks for _ in range(int(n))]
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> tuple[dict[str, float], list[float]]:
-    """Learn (lexicon, table) from labelled rows whose crc32(doc_id) mod 4 is not 2, at most TRAIN_ROWS of them.
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> Model:
+    """Learn a model from labelled rows whose crc32(doc_id) mod 4 is not 2, at most TRAIN_ROWS of them.
 
     Equal texts count once. A word becomes a term if far more toxic texts hold it than its share of all
-    texts explains (log-likelihood ratio over 2 ln(words), so chance finds about none). Rows without id
-    or label teach nothing. Without toxic texts the lexicon is empty and the table is the base rate.
+    texts explains (log-likelihood ratio over 2 ln(words), so chance finds about none). A variant of a term
+    that training texts hold is weighed by them itself; how variants not seen yet are to be weighed is told by
+    those seen once. Rows without id or label teach nothing; without toxic texts there are no terms. What
+    comes to the driver is bounded by the words of TRAIN_ROWS texts.
     """
     ship(spark)
     scratch = scratch or Scratch(spark, "toxicity")
@@ -176,17 +195,40 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratc
     n = {r[0]: r[1] for r in text.groupBy("toxic").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     words = text.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")).where("length(w) between 3 and 40")
-    words = words.groupBy("w").agg(F.sum("toxic").alias("b"), F.sum(1 - F.col("toxic")).alias("g"))
-    types, top = words.agg(F.count("*")).first()[0] if bad else 0, []
+    words = scratch.save(words.groupBy("w").agg(F.sum("toxic").alias("b"), F.sum(1 - F.col("toxic")).alias("g")))
+    types, model = words.count() if bad else 0, Model({})
+    odds_of = lambda b, g: math.log((b + 0.5) / (bad + 1.0)) - math.log((g + 0.5) / (good + 1.0))
     if types:
         rate = bad / (bad + good)
         x = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
         total = F.col("b") + F.col("g")
         llr = 2 * (x(F.col("b"), total * rate) + x(F.col("g"), total * max(1 - rate, 1e-9)))
-        odds = F.log((F.col("b") + 0.5) / (bad + 1.0)) - F.log((F.col("g") + 0.5) / (good + 1.0))
-        top = words.where((llr >= 2 * math.log(types)) & (odds > math.log(4))).select("w", odds.alias("o")).collect()
-    lexicon = {r["w"]: min(2.0, r["o"] / 3) for r in sorted(top, key=lambda r: r["w"])}
-    held_by = spark.sparkContext.broadcast(lexicon)
+        top = words.where((F.col("b") > total * rate) & (llr >= 2 * math.log(types))).collect()
+        top = {r["w"]: odds_of(r["b"], r["g"]) for r in sorted(top, key=lambda r: r["w"])}
+        model.terms = {w: min(2.0, o / 3) for w, o in top.items() if o > math.log(4)}
+        lexicon = spark.sparkContext.broadcast(model.terms)
+
+        def vary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            trie = Trie(lexicon.value)
+            for b in batches:
+                b = b[trie.may_match(b["w"].tolist())]
+                hits = [trie.find(w) for w in b["w"]]
+                b = b.assign(term=[trie.terms[i] for i, _ in hits], edits=[e for _, e in hits])
+                yield b[[i >= 0 and e > 0 for i, e in hits]]
+
+        once: dict[str, list[int]] = {}
+        for r in words.mapInPandas(vary, "w string, b long, g long, term string, edits int").collect():
+            o = odds_of(r["b"], r["g"])
+            if r["b"] + r["g"] > 1 or r["g"]:
+                model.variants[r["w"]] = min(2.0, o / 3) if o > math.log(4) and r["b"] > 1 else 0.0
+            if r["b"] + r["g"] == 1:
+                n_once = once.setdefault(r["term"], [0, 0])
+                n_once[0] += r["b"]
+                n_once[1] += r["g"]
+        for w in model.terms:
+            o = odds_of(*once.get(w, [0, 0]))
+            model.unseen[w] = min(model.terms[w], o / 3) if o > math.log(4) else 0.0
+    held_by = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = Scorer(held_by.value)
@@ -198,25 +240,26 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratc
         (bad_by if r["toxic"] else good_by)[r["bin"]] += r["count"]
     good_by = [g + 0.5 for g in good_by]
     bad_by = [b + (0.5 if i and sum(bad_by) > 1 else 0.0) for i, b in enumerate(bad_by)]
-    return lexicon, monotone(good_by, bad_by)
+    model.table = monotone(good_by, bad_by)
+    return model
 
 
-def score(spark: SparkSession, docs: DataFrame, model: tuple[dict[str, float], list[float]], keep: list[str] | None = None) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """docs' columns `keep` (default doc_id) and `score`, for every row and whole texts; null and empty texts have no hits."""
-    ship(spark)
-    keep = keep or ["doc_id"]
     held_by = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = Scorer(*held_by.value)
-        for b in batches:
-            yield b[keep].assign(score=b["text"].map(lambda t: s.score(s.points(t)), na_action=None).astype(float))
+    def make():
+        s = Scorer(held_by.value)
+        return lambda texts: [[s.score(s.points(t)) for t in texts]]
+
+    return map_texts(docs, keep or ["doc_id"], make, StructType([StructField("score", DoubleType())]))
 
-    d = columns(docs, *dict.fromkeys([*keep, "text"]))
-    from pyspark.sql.types import DoubleType, StructField, StructType
 
-    schema = StructType([d.schema[n] for n in keep] + [StructField("score", DoubleType())])
-    return d.mapInPandas(run, schema)
+def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
+    """docs without the rows whose score is `least` or more; all columns stay."""
+    packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), F.col("text"))
+    out = score(spark, packed, fit(spark, docs, labels), ["row"])
+    return out.where(F.col("score") < least).select("row.*")
 
 
 def report(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
