@@ -6,6 +6,7 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..template.values import TemplateError
 
@@ -50,14 +51,31 @@ def query(spark: SparkSession, sql: str, prelude: str = "") -> DataFrame:
     return spark.sql(statements[-1])
 
 
+def _location(spark: SparkSession, name: str) -> str | None:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").collect()
+    return rows[0]["data_type"] if rows else None
+
+
 def write_table(spark: SparkSession, name: str, df: DataFrame) -> None:
-    """Replace a table. The rows are written beside it first, so the query may read the table itself."""
+    """Replace a table. The rows are written to a folder of their own before the name is given to it.
+
+    So the query may read the table itself, readers never see a part, and what another session has left in
+    the warehouse is in nobody's way. The folder that the name stood for is deleted afterwards.
+    """
     if table_kind(spark, name) == "VIEW":
         raise TemplateError(f"{name} is a view; drop it before it becomes a table")
-    stage = re.sub(r"`$", f"__{uuid.uuid4().hex[:8]}`", name)
-    df.write.mode("overwrite").format("parquet").saveAsTable(stage)
+    database, short = name.split(".")[-2].strip("`"), name.split(".")[-1].strip("`")
+    top = spark.catalog.getDatabase(database).locationUri.rstrip("/")
+    path = f"{top}/{re.sub(r'[^A-Za-z0-9_]', '_', short)}__{uuid.uuid4().hex[:12]}"
+    df = df.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind == "void"})
+    df.write.parquet(path)
+    old = _location(spark, name) if spark.catalog.tableExists(name) else None
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {stage} RENAME TO {name}")
+    spark.catalog.createTable(name, path, "parquet", df.schema)
+    if old and old.startswith(top) and old.rstrip("/") != path:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(old)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def write_view(spark: SparkSession, name: str, sql: str) -> None:

@@ -78,8 +78,7 @@ class Project:
                  threads: int | None = None, sources: dict[str, str] | None = None, folder: str | None = None):
         """files: text by path. sources: name -> folder of Parquet tables, read by source(name, table)."""
         self.spark, self.texts, self.folder, self.sources = spark, dict(files), folder, dict(sources or {})
-        plain = Scope(FUNCTIONS)
-        self.config = cfg.load(self.texts, target, upstream, threads, lambda s: Template(s, "configuration").render(Scope(parent=plain) if False else Scope(FUNCTIONS)))
+        self.config = cfg.load(self.texts, target, upstream, threads, lambda s: Template(s, "configuration").render(Scope(FUNCTIONS)))
         self.files: dict[str, File] = {}
         self.macros: dict[str, File] = {}
         self.seeds: dict[str, str] = {}
@@ -249,7 +248,7 @@ class Project:
             "config": conf, "ref": ref, "indirect_ref": ref, "source": source, "var": var, "execute": execute, "project_name": self.config.name,
             "this": self.relation(f) if f.kind == "model" else UNDEFINED,
             "target": {"name": t.name, "schema": t.dataset, "dataset": t.dataset, "type": "spark", "threads": float(t.threads), "project": t.project, "database": t.database},
-            "is_incremental": lambda: execute and self.materialization(f) == "incremental" and truth(self.setting(f, "append", False)) and not truth(self.setting(f, "full_refresh", False)) and materialize.table_kind(self.spark, str(self.relation(f))) is not None,
+            "is_incremental": introspect(self._is_incremental(f), lambda: False),
             "run_query": introspect(lambda q: [[text(x) if x is not None and not isinstance(x, str | bool | int | float) else x for x in r] for r in self._run_rows(text(q))], list),
             "adapter": {n: FUNCTIONS["noop"] for n in ADAPTER_NOTHING} | {"get_relation": get_relation, "get_columns_in_relation": columns},
             "dbt_utils": {
@@ -279,6 +278,15 @@ class Project:
         scope = Scope(own, fallback=macro)
         return scope
 
+    def _is_incremental(self, f: File) -> Callable[[], bool]:
+        """Whether rows will be added to a table that is there: only for models that ask for it with append=true."""
+
+        def found() -> bool:
+            asked = self.materialization(f) == "incremental" and truth(self.setting(f, "append", False)) and not truth(self.setting(f, "full_refresh", False))
+            return asked and materialize.table_kind(self.spark, str(self.relation(f))) is not None
+
+        return found
+
     @staticmethod
     def _or(v: Any, default: Any) -> Any:
         return default if v is UNDEFINED else v
