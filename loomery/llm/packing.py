@@ -85,6 +85,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, path: str, tokens: int
     hash of a whole piece's columns, so their size follows group_rows whatever the data; texts aren't shuffled.
     """
     scratch = scratch or Scratch(spark, "packing")
+    kind = docs.schema["doc_id"].dataType.simpleString()
     each = scratch.save(pieces(spark, docs, path, tokens).select("doc_id", "doc_tokens", F.explode("pieces").alias("p")).select("doc_id", "doc_tokens", "p.*"))
     key = F.xxhash64("doc_id", "start", "ids_crc32")
     full = each.where(f"length = {tokens} and loss <= {loss}")
@@ -101,9 +102,9 @@ def pack_documents(spark: SparkSession, docs: DataFrame, path: str, tokens: int
         pdf["sequence_id"] = pdf["g"].astype("int64") * (group_rows * 64) + pdf["bin"]
         return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    filled = rest.withColumn("g", F.pmod(key, F.lit(groups)).cast("long")).groupBy("g").applyInPandas(fill, out)
+    out = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    keyed = rest.withColumn("g", F.pmod(key, F.lit(groups)).cast("long")).withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would make null ids floats
+    filled = keyed.groupBy("g").applyInPandas(fill, out).withColumn("doc_id", F.col("doc_id").cast(kind))
     # Full pieces are numbered downwards from -1 within the order of their keys' groups, apart from the packed ones.
     n = parts(spark, full.count(), group_rows)
     g = F.pmod(key, F.lit(n)).cast("long")

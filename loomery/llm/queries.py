@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hamming, langid, lines, media, neardup, packing, sharding, toxicity
+from . import bpe, hamming, hpylm, langid, lines, media, neardup, packing, sharding, toxicity
 
 
 def vocabulary_path() -> str:
@@ -38,6 +38,10 @@ def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(spark, rows, rows.where(F.col("vec_id") % 20 == 0), k=10)
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(spark, _table(spark, sf_dir, "documents"))
+
+
 def op6_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.pages_without_boilerplate(spark, _table(spark, sf_dir, "pages"))
 
@@ -59,7 +63,7 @@ def op10_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_stratified_interleaving, op2_mpeg_audio, op3_circulant_minhash, op4_multi_index_hashing, op6_site_lines, op7_lexicon_automata, op8_vector_packing, op9_trie_bpe, op10_hyperdimensional_langid]
+    found = [op1_stratified_interleaving, op2_mpeg_audio, op3_circulant_minhash, op4_multi_index_hashing, op5_pitman_yor, op6_site_lines, op7_lexicon_automata, op8_vector_packing, op9_trie_bpe, op10_hyperdimensional_langid]
     return {f.__name__: f for f in found}
 
 
