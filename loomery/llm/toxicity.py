@@ -24,6 +24,8 @@ from .common import Scratch, columns, map_texts, ship
 #: Labelled rows that a model is fitted on at most, those with the smallest hash of doc_id.
 TRAIN_ROWS = 20_000
 WINDOW = 8
+#: A text without hits scores no more than this, however few texts there were to learn from.
+NO_HITS_MOST = 0.25
 _TOKEN = re.compile(r"[^\W_]+")
 _QUOTES = re.compile("[\"“”„«»]")
 _REPORT = re.compile(r"(?:quote[sd]?|said|says|wrote|writes|the words?|called|the term)\W*$")
@@ -241,6 +243,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratc
     good_by = [g + 0.5 for g in good_by]
     bad_by = [b + (0.5 if i and sum(bad_by) > 1 else 0.0) for i, b in enumerate(bad_by)]
     model.table = monotone(good_by, bad_by)
+    model.table[0] = min(model.table[0], NO_HITS_MOST)
     return model
 
 

@@ -83,7 +83,7 @@ def schema_gen(project: Project, *selectors: str, write: bool = True) -> dict[st
         m.update(update_columns(m, project.table(name).columns))
         for c in m["columns"]:
             if c["name"] in project.docs and not c.get("description"):
-                c["description"] = f"{{{{ doc('{c['name']}') }}}}"
+                c["description"] = f"{{{{ doc(\"{c['name']}\") }}}}"
         out[path] = s.dump()
     return _write(project, out, write)
 
