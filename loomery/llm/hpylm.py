@@ -142,18 +142,29 @@ def sample(word: np.ndarray, context: np.ndarray, count: np.ndarray, known: np.n
     tw = (known > 0).astype(np.int64)
     states = []
     for sweep in range(BURN + SAMPLES):
-        k = np.bincount(word, t, len(known)).astype(np.int64)
-        rest = np.maximum(0, tw.sum() * scale - tw).astype(float)
-        tw = draw_tables(k, tw, rest, base, D0, THETA0, rng)
+        k = np.bincount(word, t, len(known))
         p0 = (k - D0 * tw + (THETA0 + D0 * scale * tw.sum()) * base) / (THETA0 + scale * k.sum())
         rest = np.maximum(0, scale * np.bincount(context, t, CONTEXTS)[context] - t)
         two = np.flatnonzero(count > 1)
         t[two] = draw_tables(count[two], t[two], rest[two], p0[word[two]], D, THETA, rng)
+        k = np.bincount(word, t, len(known)).astype(np.int64)
+        rest = np.maximum(0, tw.sum() * scale - tw).astype(float)
+        tw = draw_tables(k, tw, rest, base, D0, THETA0, rng)
         if sweep >= BURN:
             states.append((t.copy(), tw.copy()))
     return states
 
 
+def predict(count, tables, word, k, tw, base, customers, served, parent):
+    """The probability of each pair under one state. count, tables: of pairs; word: each pair's place among the words.
+
+    k, tw, base: of words, their customers and tables in the parent and base measure. customers, served: of each
+    pair's context, customers and tables in all. parent: the parent's customers and tables in all.
+    """
+    p0 = (k - D0 * tw + (THETA0 + D0 * parent[1]) * base) / (THETA0 + parent[0])
+    return (count - D * tables + (THETA + D * served) * p0[word]) / (THETA + customers)
+
+
 def _merge(blobs: list[bytes]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per chunk (words, pairs) as places in the shard's sorted distinct words and pairs; then those pairs' words, contexts and counts, and the words."""
     got = [_unpack(b) for b in blobs]
@@ -249,9 +260,7 @@ def score(spark: SparkSession, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES,
         cu = contexts[0][c.pair_context].astype(float)
         prob = np.zeros(len(count))
         for i in range(SAMPLES):
-            p0 = (k[i] - D0 * tw[i] + (THETA0 + D0 * parent[1, i]) * base) / (THETA0 + parent[0, i])
-            tu = contexts[1 + i][c.pair_context].astype(float)
-            prob += (count - D * tables[i] + (THETA + D * tu) * p0[c.pair_word]) / (THETA + cu)
+            prob += predict(count, tables[i], c.pair_word, k[i], tw[i], base, cu, contexts[1 + i][c.pair_context].astype(float), parent[:, i])
         edge = np.concatenate([[0], np.cumsum(c.sizes)[:-1]])
         over = lambda x: np.add.reduceat(x[c.pair], edge)
         return pd.DataFrame({
