@@ -203,19 +203,13 @@ def score(spark: SparkSession, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES,
 
     asked = scratch.save(d.groupBy("chunk").applyInPandas(ask, "chunk int, shard int, blob binary"))
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, word, _, count, words = _merge(pdf["blob"].tolist())
-        known = np.bincount(word, count, len(words))
-        return pd.DataFrame({"n": [int(known.sum())], "v": [int((known > 0).sum())]})
-
-    n, v = asked.groupBy("shard").applyInPandas(total, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
         places, word, context, count, words = _merge(pdf["blob"].tolist())
         known = np.bincount(word, count, len(words)).astype(np.int64)
         shard = int(pdf["shard"].iloc[0])
-        states = sample(word, context, count, known, float(n), float(v), shards, shard)
+        n, v = int(known.sum()), int((known > 0).sum())
+        states = sample(word, context, count, known, float(n) * shards, float(v) * shards, shards, shard)
         k = [np.bincount(word, t, len(words)).astype(np.int64) for t, _ in states]
         rows = []
         for chunk, (w, p) in zip(pdf["chunk"], places, strict=True):
@@ -223,13 +217,14 @@ def score(spark: SparkSession, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES,
             two = p[c > 1]
             rows.append((int(chunk), shard, _pack(known[w].astype(np.uint32), c.astype(np.uint32), *[t[two].astype(np.uint32) for t, _ in states], *[x[w].astype(np.uint32) for x in k], *[tw[w].astype(np.uint32) for _, tw in states])))
         sums = np.stack([np.bincount(context, x, CONTEXTS) for x in (count, *[t for t, _ in states])])
-        parent = np.array([[x.sum() for x in k], [tw.sum() for _, tw in states]], float)
+        parent = np.array([[n] * SAMPLES, [v] * SAMPLES, [x.sum() for x in k], [tw.sum() for _, tw in states]], float)
         rows.append((-1, 0, _pack(parent)))
         for block in range(16):
             rows.append((-2, block, _pack(sums[:, block * CONTEXTS // 16 : (block + 1) * CONTEXTS // 16].astype(np.uint32))))
         return pd.DataFrame(rows, columns=["chunk", "shard", "blob"])
 
     answers = scratch.save(asked.groupBy("shard").applyInPandas(answer, "chunk int, shard int, blob binary"))
+    scratch.drop(asked)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = sum(_unpack(b)[0].astype(np.float64) for b in pdf["blob"])
@@ -237,7 +232,8 @@ def score(spark: SparkSession, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES,
 
     summed = answers.where("chunk < 0").groupBy("chunk", "shard").applyInPandas(add, "chunk int, shard int, blob binary").collect()
     by = {(r["chunk"], r["shard"]): _unpack(bytes(r["blob"]))[0] for r in summed}  # 17 rows of fixed size
-    parent = by.get((-1, 0), np.zeros((2, SAMPLES)))
+    totals = by.get((-1, 0), np.zeros((4, SAMPLES)))
+    n, v, parent = int(totals[0, 0]), int(totals[1, 0]), totals[2:]
     contexts = np.concatenate([by[-2, b] for b in range(16)], 1) if by else np.zeros((1 + SAMPLES, CONTEXTS))
     model = spark.sparkContext.broadcast((parent, contexts.astype(np.float32)))
 
