@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Scratch, columns, map_texts, ship
+from .common import Scratch, blocks, columns, map_texts, ship
 
 #: Labelled rows that a model is fitted on at most, those with the smallest hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -37,7 +37,7 @@ def edits_for(length: int) -> int:
 
 
 class Trie:
-    """A lexicon's trie; `find` walks it together with the Levenshtein automaton of a word."""
+    """A lexicon's trie; `find` walks it together with the Levenshtein automata of many words at once."""
 
     def __init__(self, terms: dict[str, float]):
         self.terms = list(terms)
@@ -58,7 +58,13 @@ class Trie:
         self.lengths = np.array([len(t) for t in self.terms], np.int64)
         self.limits = np.array([edits_for(len(t)) for t in self.terms], np.int64)
         self.letters = np.array([self.mask(t) for t in self.terms], np.uint64)
-        self.exact = {t: i for i, t in enumerate(self.terms)}
+        self.longest = max((len(t) for t in self.terms), default=0) + 2
+        self.most = [0] * len(self.children)  # edits that any term below a node allows
+        for i, t in enumerate(self.terms):
+            node = 0
+            for ch in ["", *t]:
+                node = self.children[node][ch] if ch else 0
+                self.most[node] = max(self.most[node], int(self.limits[i]))
 
     @staticmethod
     def mask(word: str) -> int:
@@ -80,38 +86,48 @@ class Trie:
             out[lo : lo + 4096] = near.any(1)
         return out
 
-    def find(self, word: str) -> tuple[int, int]:
-        """The nearest term within its allowed edits and the number of edits, the heavier one at a tie; else (-1, 0).
-
-        The automaton's states are bit sets, one for each number of edits: bit i of rows[e] says that the
-        path read so far may match the word's first i letters with e edits.
-        """
-        if word in self.exact:
-            return self.exact[word], 0
-        k, n = 2, len(word)
-        at: dict[str, int] = {}
-        for i, ch in enumerate(word):
-            at[ch] = at.get(ch, 0) | 1 << i
-        goal, full = 1 << n, (1 << n + 1) - 1
-        start = tuple((1 << min(e, n) + 1) - 1 for e in range(k + 1))
-        best, stack = (-1, 9, 0.0), [(0, start)]
+    def find(self, words: list[str]) -> list[tuple[int, int]]:
+        """For each word the nearest term within its allowed edits and the number of edits, the heavier one at a tie; else (-1, 0)."""
+        out = []
+        for lo in range(0, len(words), 8192):
+            out += self._find(words[lo : lo + 8192])
+        return out
+
+    def _find(self, words: list[str]) -> list[tuple[int, int]]:
+        # The automata's states are bit sets, one for each number of edits: bit i of rows[e] says that the path
+        # read so far may match the word's first i letters with e edits. rows[e + 1] has all bits of rows[e].
+        one, best, edits, weight = np.uint64(1), np.full(len(words), -1), np.full(len(words), 9), np.zeros(len(words))
+        at = np.array([i for i, w in enumerate(words) if len(w) <= min(self.longest, 60)], np.int64)
+        if not len(at) or not self.terms:
+            return [(-1, 0)] * len(words)
+        size = np.array([len(words[i]) for i in at], np.uint64)
+        width = int(size.max())
+        letters = np.frombuffer("".join([words[i].ljust(width, "\0") for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), width)
+        bits = one << np.arange(width, dtype=np.uint64)
+        hits = {ch: np.where(letters == ord(ch), bits, np.uint64(0)).sum(1, dtype=np.uint64) for ch in {ch for c in self.children for ch in c}}
+        goal, full = one << size, (one << size + one) - one
+        rows = [(one << np.minimum(np.uint64(e), size) + one) - one for e in range(self.most[0] + 1)]
+        stack = [(0, np.arange(len(at)), rows)]
         while stack:
-            node, rows = stack.pop()
+            node, on, rows = stack.pop()
             i = self.final[node]
             if i >= 0:
-                for e in range(min(k, int(self.limits[i])) + 1):
-                    if rows[e] & goal:
-                        if (e, -self.weights[i]) < (best[1], -best[2]):
-                            best = (i, e, self.weights[i])
-                        break
+                d = np.full(len(on), 9)
+                for e in reversed(range(int(self.limits[i]) + 1)):
+                    d[rows[e] & goal[on] != 0] = e
+                w = at[on]
+                better = (d < edits[w]) | (d < 9) & (d == edits[w]) & (self.weights[i] > weight[w])
+                w = w[better]
+                best[w], edits[w], weight[w] = i, d[better], self.weights[i]
             for ch, nxt in self.children[node].items():
-                hit = at.get(ch, 0)
-                new = [(rows[0] & hit) << 1]
+                hit, k = hits[ch][on], self.most[nxt]
+                new = [(rows[0] & hit) << one]
                 for e in range(1, k + 1):
-                    new.append(((rows[e] & hit) << 1 | rows[e - 1] | rows[e - 1] << 1 | new[e - 1] << 1) & full)
-                if new[k]:
-                    stack.append((nxt, tuple(new)))
-        return (best[0], best[1]) if best[0] >= 0 else (-1, 0)
+                    new.append(((rows[e] & hit) << one | rows[e - 1] | rows[e - 1] << one | new[e - 1] << one) & full[on])
+                alive = new[k] != 0
+                if alive.any():
+                    stack.append((nxt, on[alive], [r[alive] for r in new]))
+        return [(i, e) if i >= 0 else (-1, 0) for i, e in zip(best.tolist(), edits.tolist(), strict=True)]
 
 
 @dataclass
@@ -133,20 +149,21 @@ class Scorer:
         if len(self.known) > 1_000_000:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        for w, may in zip(new, self.trie.may_match(new), strict=True):
-            term, edits = self.trie.find(w) if may else (-1, 0)
+        self.known.update(dict.fromkeys(new, (-1, 0, 0.0)))
+        near = [w for w, may in zip(new, self.trie.may_match(new), strict=True) if may]
+        for w, (term, edits) in zip(near, self.trie.find(near), strict=True):
             weight = 0.0
             if term >= 0:
                 name = self.trie.terms[term]
                 weight = self.trie.weights[term] if not edits else self.model.variants.get(w, self.model.unseen.get(name, 0.0) * (1.25 - 0.25 * edits))
             self.known[w] = (term, edits, weight) if weight > 0 else (-1, 0, 0.0)
 
-    def hits(self, text: str) -> list[tuple[int, int, int, int, int, float]]:
-        """Of each hit: start, end, token number, term, edits, window score."""
+    def hits(self, text: str, words: set[str] | None = None) -> list[tuple[int, int, int, int, int, float]]:
+        """Of each hit: start, end, token number, term, edits, window score. words: the text's, if they are learned already."""
         low = text.lower()
-        words = _TOKEN.findall(low)
-        distinct = set(words)
-        self.learn_words(distinct)
+        distinct = set(_TOKEN.findall(low)) if words is None else words
+        if words is None:
+            self.learn_words(distinct)
         if all(self.known[w][0] < 0 for w in distinct):
             return []
         found = [(i, m.start(), m.end(), *self.known[m.group()]) for i, m in enumerate(_TOKEN.finditer(low)) if self.known[m.group()][0] >= 0]
@@ -160,8 +177,11 @@ class Scorer:
             out.append((a, b, i, term, edits, score))
         return out
 
-    def points(self, text: str | None) -> float:
-        return sum(h[-1] for h in self.hits(text)) if text else 0.0
+    def points(self, texts: list[str | None]) -> list[float]:
+        """Each text's sum of window scores; all their words go through the automata together."""
+        words = [set(_TOKEN.findall(t.lower())) if t else set() for t in texts]
+        self.learn_words(set().union(*words))
+        return [sum(h[-1] for h in self.hits(t, w)) if w else 0.0 for t, w in zip(texts, words, strict=True)]
 
     def score(self, points: float) -> float:
         return self.model.table[int(np.searchsorted(EDGES, points, "right")) - 1]
@@ -214,7 +234,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratc
             trie = Trie(lexicon.value)
             for b in batches:
                 b = b[trie.may_match(b["w"].tolist())]
-                hits = [trie.find(w) for w in b["w"]]
+                hits = trie.find(b["w"].tolist())
                 b = b.assign(term=[trie.terms[i] for i, _ in hits], edits=[e for _, e in hits])
                 yield b[[i >= 0 and e > 0 for i, e in hits]]
 
@@ -235,7 +255,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratc
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = Scorer(held_by.value)
         for b in batches:
-            yield pd.DataFrame({"bin": np.searchsorted(EDGES, b["text"].map(s.points).to_numpy(float), "right") - 1, "toxic": b["toxic"]})
+            for lo, hi in blocks(texts := b["text"].tolist()):
+                yield pd.DataFrame({"bin": np.searchsorted(EDGES, s.points(texts[lo:hi]), "right") - 1, "toxic": b["toxic"].iloc[lo:hi]})
 
     good_by, bad_by = [1e-3] * len(EDGES), [1e-3 * (bad + 1) / (bad + good + 2)] * len(EDGES)
     for r in text.select("text", "toxic").mapInPandas(measure, "bin int, toxic int").groupBy("bin", "toxic").count().collect():
@@ -253,7 +274,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str] |
 
     def make():
         s = Scorer(held_by.value)
-        return lambda texts: [[s.score(s.points(t)) for t in texts]]
+        return lambda texts: [[s.score(p) for p in s.points(texts)]]
 
     return map_texts(docs, keep or ["doc_id"], make, StructType([StructField("score", DoubleType())]))
 

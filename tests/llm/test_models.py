@@ -35,16 +35,15 @@ def lev(a, b):
 def test_automata_find_the_nearest_term(terms, words):
     trie = toxicity.Trie({t: 1 + i / 100 for i, t in enumerate(terms)})
     may = trie.may_match(words)
-    for w, m in zip(words, may, strict=True):
+    for w, m, got in zip(words, may, trie.find(words), strict=True):
         near = [(lev(w, t), -(1 + i / 100), i) for i, t in enumerate(terms) if lev(w, t) <= toxicity.edits_for(len(t))]
-        got = trie.find(w)
         assert got == ((min(near)[2], min(near)[0]) if near else (-1, 0))
         assert m or not near
 
 
 def test_quoted_terms_count_less():
     s = toxicity.Scorer(toxicity.Model({"vermin": 1.0}, {"vermin": 1.0}, {}, [0.0] * len(toxicity.EDGES)))
-    plain, quoted, told, twice, wrong = (s.points(t) for t in ("they are vermin here", 'he said "they are vermin here" then', "they wrote: vermin", "vermin and vermin", "they are vermim here"))
+    plain, quoted, told, twice, wrong = s.points(["they are vermin here", 'he said "they are vermin here" then', "they wrote: vermin", "vermin and vermin", "they are vermim here"])
     assert quoted < plain and told < plain and twice > 2 * plain - 1e-9 and 0 < wrong <= plain
 
 
