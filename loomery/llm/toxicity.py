@@ -201,7 +201,7 @@ def monotone(good: list[float], bad: list[float]) -> list[float]:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> Model:
     """Learn a model from labelled rows whose crc32(doc_id) mod 4 is not 2, at most TRAIN_ROWS of them.
 
-    Equal texts count once. A word becomes a term if far more toxic texts hold it than its share of all
+    Equal texts, and near copies mostly, count once. A word becomes a term if far more toxic texts hold it than its share of all
     texts explains (log-likelihood ratio over 2 ln(words), so chance finds about none). A variant of a term
     that training texts hold is weighed by them itself; how variants not seen yet are to be weighed is told by
     those seen once. Rows without id or label teach nothing; without toxic texts there are no terms. What
@@ -214,6 +214,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratc
     some = some.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     text = columns(docs, "doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id")
     text = scratch.save(text.groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("i")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")))
+    # Near copies mostly have the same least hash of three words; one of them counts, else their rare words would look like terms.
+    w = F.split(F.lower("text"), r"\s+")
+    three = F.arrays_zip(w, F.slice(w, F.lit(2), F.size(w)), F.slice(w, F.lit(3), F.size(w)))
+    text = text.withColumn("k", F.array_min(F.transform(three, lambda x: F.xxhash64(x))))
+    text = scratch.save(text.groupBy("k", "toxic").agg(F.min("text").alias("text")))
     n = {r[0]: r[1] for r in text.groupBy("toxic").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     words = text.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")).where("length(w) between 3 and 40")
