@@ -1,9 +1,9 @@
 """A hierarchical Pitman-Yor language model of word pairs, seated by Gibbs sampling.
 
-The restaurant of a context serves the words that follow it; a context is the word before, hashed into
-one of CONTEXTS restaurants, so their number is bounded and none has to be looked up. All share a
-parent, in which each of their tables is a customer; the parent's base measure is the additive estimate
-B(w) = (c + 0.1) / (N + 0.1 (V + 1)) from the words' counts. With t tables for c customers of a dish,
+The restaurant of a context serves the words that follow it; a context is the word before, known by its
+whole 64-bit hash, so restaurants grow with the corpus. All share a parent, in which each of their tables
+is a customer; the parent's base measure is the additive estimate B(w) = (c + 0.1) / (N + 0.1 (V + 1)) from
+the words' counts. With t tables for c customers of a dish,
 
     P(w | u) = (c_uw - D t_uw + (THETA + D T_u) P0(w)) / (THETA + c_u)
     P0(w)    = (k_w - D0 t_w + (THETA0 + D0 T) B(w)) / (THETA0 + K),   k_w = sum over u of t_uw,
@@ -13,12 +13,16 @@ and the probability of a word is the mean of P over SAMPLES states of the sample
 Texts are dealt into chunks and words into shards, both by hash. A chunk sends each shard its distinct words
 and (word, context) pairs with counts, sorted and packed; the shard sums them, samples, and answers
 in the same order, without keys. So what is shuffled is distinct pairs, not tokens, and no table of all
-words is ever in one place. All contexts of a word are in its shard, at most CONTEXTS of them. What spans
-shards is a vector over contexts, summed in blocks: its size is fixed, and it may be broadcast.
-
-A sweep draws each dish's number of tables from its conditional distribution given all others, in which
-seatings with equal numbers of tables are summed (generalised Stirling numbers); dishes of over EXACT
-customers are seated anew in runs that double. Totals of other shards are estimated from the shard's own.
+words is ever in one place. All contexts of a word are in its shard. A context's totals span shards: they are
+summed by the shard that owns the context's own word, before the first sweep and after each, and sent back to
+the shards that have the context and with the last states to the chunks. Only N, V and the parent's totals,
+four numbers, come to the driver.
+
+A sweep draws each dish's number of tables from its conditional distribution given all others as they were
+after the sweep before, in which seatings with equal numbers of tables are summed (generalised Stirling
+numbers); dishes of over EXACT customers are seated anew in runs that double. Dishes of one customer have one
+table and aren't sampled. Random numbers are hashes of word, context and sweep, so results don't depend on
+the numbers of chunks and shards.
 """
 
 from __future__ import annotations
@@ -31,9 +35,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, columns, parts, ship, word_hashes
+from .common import Scratch, columns, mix64, parts, ship, word_hashes
 
-CONTEXTS, D, THETA, D0, THETA0 = 1 << 16, 0.75, 1.0, 0.75, 1.0
+D, THETA, D0, THETA0 = 0.75, 1.0, 0.75, 1.0
 BURN, SAMPLES, EXACT = 2, 3, 32
 CHUNK_BYTES, CHUNKS_A_SHARD = 8_000_000, 4
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -56,33 +60,40 @@ def _from_planes(p: np.ndarray) -> np.ndarray:
     return np.cumsum(p.T.copy().view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
-def context_of(before: np.ndarray) -> np.ndarray:
-    return (before & np.uint64(CONTEXTS - 1)).astype(np.int64)
+def _steps(a: np.ndarray) -> np.ndarray:
+    """Rising places as their differences."""
+    return np.diff(a, prepend=0).astype(np.uint32)
+
+
+def _from_steps(a: np.ndarray) -> np.ndarray:
+    return np.cumsum(a, dtype=np.int64)
+
+
+def edges(words: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n shards begins and ends in sorted words; shards are equal ranges of hashes."""
+    shard = ((words >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
+    return np.searchsorted(shard, np.arange(n + 1))
 
 
 class Chunk:
-    """A chunk's tokens, its distinct words in order of hash, and its distinct pairs in order of word and context."""
+    """A chunk's tokens, its distinct words (and the start) in order of hash, and its distinct pairs in order of word and context, as places among the words."""
 
     def __init__(self, texts: list[str | None], train: np.ndarray):
-        per, befores = [], []
-        for t in texts:
-            h = np.append(word_hashes(t), _END)
-            per.append(h)
-            befores.append(np.concatenate([[_START], h[:-1]]))
+        per = [np.append(word_hashes(t), _END) for t in texts]
         self.sizes = np.array([len(h) for h in per], np.int64)
-        h = np.concatenate(per) if per else np.empty(0, np.uint64)
-        u = context_of(np.concatenate(befores)) if per else np.empty(0, np.int64)
-        self.words, word = np.unique(h, return_inverse=True)
-        pairs, self.pair = np.unique(word.reshape(-1).astype(np.int64) * CONTEXTS + u, return_inverse=True)
+        self.words, word = np.unique(np.concatenate([*per, [_START]]).astype(np.uint64), return_inverse=True)
+        word = word.reshape(-1).astype(np.int64)
+        word, before = word[:-1], np.concatenate([word[-1:], word[:-2]])[: len(word) - 1]
+        before[np.cumsum(self.sizes) - self.sizes] = np.searchsorted(self.words, _START)
+        pairs, self.pair = np.unique(word * len(self.words) + before, return_inverse=True)
         self.pair = self.pair.reshape(-1)
-        self.pair_word, self.pair_context = pairs // CONTEXTS, pairs % CONTEXTS
+        self.pair_word, self.pair_context = pairs // len(self.words), pairs % len(self.words)
         taught = np.repeat(train, self.sizes)
         self.count = np.bincount(self.pair[taught], minlength=len(pairs))
 
     def shards(self, n: int) -> list[tuple[int, slice, slice]]:
-        """(shard, its words, its pairs): shards are equal ranges of hashes."""
-        shard = ((self.words >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
-        edge = np.searchsorted(shard, np.arange(n + 1))
+        """(shard, its words, its pairs)."""
+        edge = edges(self.words, n)
         at = np.searchsorted(self.pair_word, edge)
         return [(s, slice(edge[s], edge[s + 1]), slice(at[s], at[s + 1])) for s in range(n) if edge[s] < edge[s + 1]]
 
@@ -90,7 +101,8 @@ class Chunk:
         out = []
         for s, w, p in self.shards(n):
             many = np.bincount(self.pair_word[p] - w.start, minlength=w.stop - w.start)
-            out.append((s, _pack(_planes(self.words[w]), many.astype(np.uint32), self.pair_context[p].astype(np.uint16), self.count[p].astype(np.uint32))))
+            contexts, at = np.unique(self.pair_context[p], return_inverse=True)
+            out.append((s, _pack(_planes(self.words[w]), many.astype(np.uint32), _planes(self.words[contexts]), at.reshape(-1).astype(np.min_scalar_type(len(contexts))), self.count[p].astype(np.uint32))))
         return out
 
 
@@ -110,16 +122,43 @@ def log_stirling(d: float) -> np.ndarray:
     return _stirling[d]
 
 
-def draw_tables(c: np.ndarray, t: np.ndarray, rest: np.ndarray, p: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
-    """New numbers of tables of dishes with c customers, given `rest` tables of other dishes in the restaurant and the parent's probability p."""
+def uniform(keys: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Numbers above 0 and below 1 that follow from key and number alone."""
+    with np.errstate(over="ignore"):
+        x = mix64(keys + mix64((number.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)))
+    return ((x >> np.uint64(12)).astype(float) + 0.5) * 2.0**-52
+
+
+def _gumbel(rng: np.random.Generator | np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    return rng.gumbel(size=(len(at), k)) if isinstance(rng, np.random.Generator) else -np.log(-np.log(uniform(rng[at, None], np.arange(k)[None])))
+
+
+def _binomial(rng: np.random.Generator | np.ndarray, at: np.ndarray, first: np.ndarray, n: np.ndarray, p: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Successes in n trials; with keys the trials are counted one by one, numbered from `first`."""
+    if isinstance(rng, np.random.Generator):
+        return rng.binomial(n, p)
+    out, end = np.zeros(len(n), np.int64), np.cumsum(n)
+    for lo in range(0, int(end[-1]), block):
+        trial = np.arange(lo, min(lo + block, int(end[-1])))
+        i = np.repeat(np.arange(len(n)), np.clip(np.minimum(end, lo + block) - np.maximum(end - n, lo), 0, None))
+        hit = uniform(rng[at[i]], first[i] + (trial - (end - n)[i])) < p[i]
+        out += np.bincount(i[hit], minlength=len(n))
+    return out
+
+
+def draw_tables(c: np.ndarray, t: np.ndarray, rest: np.ndarray, p: np.ndarray, d: float, theta: float, rng: np.random.Generator | np.ndarray) -> np.ndarray:
+    """New numbers of tables of dishes with c customers, given `rest` tables of other dishes in the restaurant and the parent's probability p.
+
+    rng: a generator, or a 64-bit key for each dish.
+    """
     out, table = np.minimum(c, 1), log_stirling(d)
     for k in range(2, EXACT + 1):
         at = np.flatnonzero(c == k)
-        for lo in range(0, len(at), 200_000):
-            i = at[lo : lo + 200_000]
+        for lo in range(0, len(at), 50_000):
+            i = at[lo : lo + 50_000]
             step = np.log(theta + d * (rest[i, None] + np.arange(k))) + np.log(p[i, None])
             logit = table[k, 1 : k + 1] + np.cumsum(step, 1)
-            out[i] = 1 + np.argmax(logit + rng.gumbel(size=logit.shape), 1)
+            out[i] = 1 + np.argmax(logit + _gumbel(rng, i, k), 1)
     big = np.flatnonzero(c > EXACT)
     if len(big):
         n, seated = c[big].astype(float), np.ones(len(big))
@@ -127,30 +166,44 @@ def draw_tables(c: np.ndarray, t: np.ndarray, rest: np.ndarray, p: np.ndarray, d
         while (left := n - seated).max() > 0:
             run = np.minimum(left, np.maximum(1, seated // 2))
             a = (theta + d * (r + new)) * q
-            new += rng.binomial(run.astype(np.int64), np.clip(a / (a + seated - d * new), 0, 1))
+            new += _binomial(rng, big, seated, run.astype(np.int64), np.clip(a / (a + seated - d * new), 0, 1))
             seated += run
         out[big] = new
     return out
 
 
-def sample(word: np.ndarray, context: np.ndarray, count: np.ndarray, known: np.ndarray, total: float, kinds: float, scale: int, seed: int):
-    """States after burning in: a list of (tables of pairs, tables of words). `known` are the words' counts, total and kinds are N and V."""
-    rng = np.random.default_rng(seed)
-    on = count > 0
-    t = on.astype(np.int64)
+def sweep(word, context, count, t, served, known, ones, tw, total, kinds, parent, pair_keys, word_keys, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """New tables of pairs, customers and tables of words in the parent.
+
+    word, context: of pairs of over one customer, as places; `ones` are the words' pairs of one customer. known: the
+    words' counts. served, parent: each context's tables and the parent's customers and tables, in the whole corpus, as
+    they are before the sweep; total and kinds are N and V.
+    """
+    turn = mix64(np.array([number + 1], np.uint64))
     base = (known + 0.1) / (total + 0.1 * (kinds + 1))
-    tw = (known > 0).astype(np.int64)
+    k = ones + np.bincount(word, t, len(known))
+    p0 = (k - D0 * tw + (THETA0 + D0 * parent[1]) * base) / (THETA0 + parent[0])
+    t = draw_tables(count, t, served[context] - t, p0[word], D, THETA, pair_keys ^ turn)
+    k = (ones + np.bincount(word, t, len(known))).astype(np.int64)
+    return t, k, draw_tables(k, tw, np.maximum(0, parent[1] - tw).astype(float), base, D0, THETA0, word_keys ^ turn)
+
+
+def _pair_keys(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(words + mix64(contexts))
+
+
+def sample(word: np.ndarray, context: np.ndarray, count: np.ndarray, known: np.ndarray, total: float, kinds: float, *seed: int):
+    """A whole corpus in one place: states after burning in, a list of (tables of pairs, tables of words). `known` are the words' counts, total and kinds are N and V."""
+    t, tw = (count > 0).astype(np.int64), (known > 0).astype(np.int64)
+    two = np.flatnonzero(count > 1)
+    ones = np.bincount(word, count == 1, len(known))
+    keys = mix64(np.random.default_rng(seed).integers(0, 2**63, 2).astype(np.uint64))
+    pair_keys, word_keys = _pair_keys(word[two].astype(np.uint64) + keys[0], context[two].astype(np.uint64)), mix64(np.arange(len(known), dtype=np.uint64) + keys[1])
     states = []
-    for sweep in range(BURN + SAMPLES):
-        k = np.bincount(word, t, len(known))
-        p0 = (k - D0 * tw + (THETA0 + D0 * scale * tw.sum()) * base) / (THETA0 + scale * k.sum())
-        rest = np.maximum(0, scale * np.bincount(context, t, CONTEXTS)[context] - t)
-        two = np.flatnonzero(count > 1)
-        t[two] = draw_tables(count[two], t[two], rest[two], p0[word[two]], D, THETA, rng)
-        k = np.bincount(word, t, len(known)).astype(np.int64)
-        rest = np.maximum(0, tw.sum() * scale - tw).astype(float)
-        tw = draw_tables(k, tw, rest, base, D0, THETA0, rng)
-        if sweep >= BURN:
+    for number in range(BURN + SAMPLES):
+        t[two], _, tw = sweep(word[two], context[two], count[two], t[two], np.bincount(context, t), known, ones, tw, total, kinds, (t.sum(), tw.sum()), pair_keys, word_keys, number)
+        if number >= BURN:
             states.append((t.copy(), tw.copy()))
     return states
 
@@ -165,19 +218,120 @@ def predict(count, tables, word, k, tw, base, customers, served, parent):
     return (count - D * tables + (THETA + D * served) * p0[word]) / (THETA + customers)
 
 
-def _merge(blobs: list[bytes]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per chunk (words, pairs) as places in the shard's sorted distinct words and pairs; then those pairs' words, contexts and counts, and the words."""
+def _merge(blobs: list[bytes]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per chunk (words, pairs) as places in the shard's sorted distinct words and pairs; then those pairs' words, contexts and counts, the words and the contexts."""
     got = [_unpack(b) for b in blobs]
-    lists = [_from_planes(g[0]) for g in got]
-    words = np.unique(np.concatenate(lists))
+    lists, befores = [_from_planes(g[0]) for g in got], [_from_planes(g[2]) for g in got]
+    words, contexts = np.unique(np.concatenate(lists)), np.unique(np.concatenate(befores))
     at = [np.searchsorted(words, w) for w in lists]
-    keys = [np.repeat(a, g[1]) * CONTEXTS + g[2] for a, g in zip(at, got, strict=True)]
+    keys = [np.repeat(a, g[1]) * len(contexts) + np.searchsorted(contexts, b)[g[3]] for a, b, g in zip(at, befores, got, strict=True)]
     pairs = np.unique(np.concatenate(keys))
     where = [np.searchsorted(pairs, k) for k in keys]
     count = np.zeros(len(pairs), np.int64)
     for w, g in zip(where, got, strict=True):
-        count[w] += g[3]
-    return list(zip(at, where, strict=True)), pairs // CONTEXTS, pairs % CONTEXTS, count, words
+        count[w] += g[4]
+    many = max(1, len(contexts))
+    return list(zip(at, where, strict=True)), pairs // many, pairs % many, count, words, contexts
+
+
+#: Rows between shards: what a shard samples, what its chunks asked for, what it tells owners, a state, what an owner holds, what it replies, a state's totals of its contexts.
+_CORE, _PLACES, _TELL, _STATE, _OWN, _REPLY, _TOTAL = range(7)
+_ROW = "kind int, shard int, chunk int, blob binary, a long, b long, c long"
+
+
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    """Rows of kind, shard that gets it, where it is from or for (a chunk, a shard or a sweep), blob and up to three sums."""
+    return pd.DataFrame([(*r, *[0] * (7 - len(r))) for r in rows], columns=["kind", "shard", "chunk", "blob", "a", "b", "c"])
+
+
+def _of(pdf: pd.DataFrame, kind: int) -> list[tuple[int, tuple[np.ndarray, ...]]]:
+    x = pdf[pdf["kind"] == kind].sort_values("chunk")
+    return [(int(c), _unpack(b)) for c, b in zip(x["chunk"], x["blob"], strict=True)]
+
+
+def seat(pdf: pd.DataFrame, shards: int) -> pd.DataFrame:
+    """A shard's first state: one table for each pair and word that occur. Sums: N, V and pairs of its words."""
+    shard, pdf = int(pdf["shard"].iloc[0]), pdf.sort_values("chunk")
+    places, word, context, count, words, contexts = _merge(pdf["blob"].tolist())
+    known = np.bincount(word, count, len(words)).astype(np.int64)
+    ones, multi = np.bincount(word, count == 1, len(words)), count > 1
+    place = np.cumsum(multi) - 1
+    customers, single, several = (np.bincount(context, x, len(contexts)).astype(np.uint32) for x in (count, count == 1, multi))
+    at = np.cumsum(several > 0) - 1
+    core = (_planes(words), known.astype(np.uint32), ones.astype(np.uint32), _planes(contexts[several > 0]), _steps(word[multi]), at[context[multi]].astype(np.uint32), count[multi].astype(np.uint32))
+    rows = [(_CORE, shard, 0, _pack(*core), int(known.sum()), int((known > 0).sum()), int((count > 0).sum()))]
+    rows.append((_STATE, shard, -1, _pack(np.ones(int(multi.sum()), np.uint32), (known > 0).astype(np.uint32), np.zeros(0, np.uint32))))
+    for chunk, (w, p) in zip(pdf["chunk"], places, strict=True):
+        rows.append((_PLACES, shard, int(chunk), _pack(_steps(w), count[p].astype(np.uint32), _steps(place[p[multi[p]]]))))
+    edge = edges(contexts, shards)
+    for o in np.flatnonzero(np.diff(edge)):
+        x = slice(edge[o], edge[o + 1])
+        rows.append((_TELL, int(o), shard, _pack(_planes(contexts[x]), customers[x], single[x], several[x])))
+    return _rows(rows)
+
+
+def _replies(served: np.ndarray, sources: list[tuple[int, np.ndarray]], owner: int) -> list[tuple]:
+    return [(_REPLY, s, owner, _pack(served[at].astype(np.uint32))) for s, at in sources if len(at)]
+
+
+def own(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What an owner of contexts holds: their hashes, customers and pairs of one customer, and where each shard's contexts stand; and the first totals."""
+    owner, got = int(pdf["shard"].iloc[0]), _of(pdf, _TELL)
+    lists = [_from_planes(g[0]) for _, g in got]
+    contexts = np.unique(np.concatenate(lists))
+    customers, single, several = (np.zeros(len(contexts), np.int64) for _ in range(3))
+    sources = []
+    for w, (s, g) in zip(lists, got, strict=True):
+        at = np.searchsorted(contexts, w)
+        for total, x in zip((customers, single, several), g[1:], strict=True):
+            total[at] += x
+        sources.append((s, at[g[3] > 0]))
+    held = _pack(_planes(contexts), customers, single, np.array([s for s, _ in sources]), *[_steps(at) for _, at in sources])
+    return _rows([(_OWN, owner, 0, held), *_replies(single + several, sources, owner)])
+
+
+def add(pdf: pd.DataFrame, told: pd.DataFrame, number: int) -> pd.DataFrame:
+    """An owner's totals after a sweep, for the shards and with written states for the chunks."""
+    if not len(pdf):
+        return _rows([])
+    owner, held = int(pdf["shard"].iloc[0]), _of(pdf, _OWN)[0][1]
+    sources = [(int(s), _from_steps(x)) for s, x in zip(held[3], held[4:], strict=True)]
+    at, served = dict(sources), held[2].copy()
+    for s, (x,) in _of(told, _TELL):
+        served[at[s]] += x
+    return _rows([*([(_TOTAL, owner, number, _pack(served))] if number >= BURN else []), *_replies(served, sources, owner)])
+
+
+def move(pdf: pd.DataFrame, told: pd.DataFrame, shards: int, n: int, v: int, parent: tuple[int, int], number: int) -> pd.DataFrame:
+    """A shard's next state, with the parent's customers and tables as sums, and what it tells the contexts' owners."""
+    if not len(pdf):
+        return _rows([])
+    shard, core, state = int(pdf["shard"].iloc[0]), _of(pdf, _CORE)[0][1], _of(pdf, _STATE)[0][1]
+    words, contexts = _from_planes(core[0]), _from_planes(core[3])
+    known, ones, word, context, count = core[1].astype(np.int64), core[2].astype(np.int64), _from_steps(core[4]), core[5].astype(np.int64), core[6].astype(np.int64)
+    served = np.concatenate([np.zeros(0), *[x for _, (x,) in _of(told, _REPLY)]]).astype(np.int64)
+    t, k, tw = sweep(word, context, count, state[0].astype(np.int64), served, known, ones, state[1].astype(np.int64), float(n), float(v), parent, _pair_keys(words[word], contexts[context]), mix64(words), number)
+    rows = [(_STATE, shard, number, _pack(t.astype(np.uint32), tw.astype(np.uint32), k.astype(np.uint32)), int(k.sum()), int(tw.sum()))]
+    tables, edge = np.bincount(context, t, len(contexts)).astype(np.uint32), edges(contexts, shards)
+    rows += [(_TELL, int(o), shard, _pack(tables[edge[o] : edge[o + 1]])) for o in np.flatnonzero(np.diff(edge))]
+    return _rows(rows)
+
+
+def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    """To each chunk, in the order of its words and pairs there: counts, tables and totals of the words as contexts, under each state."""
+    shard, core = int(pdf["shard"].iloc[0]), _of(pdf, _CORE)[0][1]
+    held = next((x for _, x in _of(pdf, _OWN)), None)
+    words, states, totals = _from_planes(core[0]), [x for _, x in _of(pdf, _STATE)], [x for _, (x,) in _of(pdf, _TOTAL)]
+    contexts, customers = (_from_planes(held[0]), held[1]) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    at = np.searchsorted(words, contexts)
+    as_context = np.zeros((1 + SAMPLES, len(words)), np.uint32)
+    for row, x in zip(as_context, [customers, *totals]):
+        row[at] = x
+    rows = []
+    for chunk, (w, count, multi) in _of(pdf, _PLACES):
+        w, multi = _from_steps(w), _from_steps(multi)
+        rows.append((_PLACES, shard, chunk, _pack(core[1][w], count, *[t[multi] for t, _, _ in states], *[k[w] for _, _, k in states], *[tw[w] for _, tw, _ in states], *[x[w] for x in as_context])))
+    return _rows(rows)
 
 
 def score(spark: SparkSession, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, scratch: Scratch | None = None) -> DataFrame:
@@ -201,49 +355,44 @@ def score(spark: SparkSession, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES,
         rows = c.ask(shards)
         return pd.DataFrame({"chunk": pdf["chunk"].iloc[0], "shard": [s for s, _ in rows], "blob": [b for _, b in rows]})
 
-    asked = scratch.save(d.groupBy("chunk").applyInPandas(ask, "chunk int, shard int, blob binary"))
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        places, word, context, count, words = _merge(pdf["blob"].tolist())
-        known = np.bincount(word, count, len(words)).astype(np.int64)
-        shard = int(pdf["shard"].iloc[0])
-        n, v = int(known.sum()), int((known > 0).sum())
-        states = sample(word, context, count, known, float(n) * shards, float(v) * shards, shards, shard)
-        k = [np.bincount(word, t, len(words)).astype(np.int64) for t, _ in states]
-        rows = []
-        for chunk, (w, p) in zip(pdf["chunk"], places, strict=True):
-            c = count[p]
-            two = p[c > 1]
-            rows.append((int(chunk), shard, _pack(known[w].astype(np.uint32), c.astype(np.uint32), *[t[two].astype(np.uint32) for t, _ in states], *[x[w].astype(np.uint32) for x in k], *[tw[w].astype(np.uint32) for _, tw in states])))
-        sums = np.stack([np.bincount(context, x, CONTEXTS) for x in (count, *[t for t, _ in states])])
-        parent = np.array([[n] * SAMPLES, [v] * SAMPLES, [x.sum() for x in k], [tw.sum() for _, tw in states]], float)
-        rows.append((-1, 0, _pack(parent)))
-        for block in range(16):
-            rows.append((-2, block, _pack(sums[:, block * CONTEXTS // 16 : (block + 1) * CONTEXTS // 16].astype(np.uint32))))
-        return pd.DataFrame(rows, columns=["chunk", "shard", "blob"])
-
-    answers = scratch.save(asked.groupBy("shard").applyInPandas(answer, "chunk int, shard int, blob binary"))
-    scratch.drop(asked)
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = sum(_unpack(b)[0].astype(np.float64) for b in pdf["blob"])
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "shard": pdf["shard"].iloc[:1], "blob": [_pack(whole)]})
-
-    summed = answers.where("chunk < 0").groupBy("chunk", "shard").applyInPandas(add, "chunk int, shard int, blob binary").collect()
-    by = {(r["chunk"], r["shard"]): _unpack(bytes(r["blob"]))[0] for r in summed}  # 17 rows of fixed size
-    totals = by.get((-1, 0), np.zeros((4, SAMPLES)))
-    n, v, parent = int(totals[0, 0]), int(totals[1, 0]), totals[2:]
-    contexts = np.concatenate([by[-2, b] for b in range(16)], 1) if by else np.zeros((1 + SAMPLES, CONTEXTS))
-    model = spark.sparkContext.broadcast((parent, contexts.astype(np.float32)))
+    def moving(parent: tuple[int, int], number: int):
+        return lambda mine, told: move(mine, told, shards, n, v, parent, number)
+
+    def adding(number: int):
+        return lambda held, told: add(held, told, number)
+
+    asked = d.groupBy("chunk").applyInPandas(ask, "chunk int, shard int, blob binary")
+    seated = scratch.save(asked.groupBy("shard").applyInPandas(lambda pdf: seat(pdf, shards), _ROW))
+    core, state = scratch.save(seated.where(f"kind = {_CORE}")), scratch.save(seated.where(f"kind = {_STATE}"))
+    n, v, customers = (int(x or 0) for x in core.agg(F.sum("a"), F.sum("b"), F.sum("c")).first())
+    parent = (customers, v)
+    owned = scratch.save(seated.where(f"kind = {_TELL}").groupBy("shard").applyInPandas(own, _ROW))
+    owners, replies = owned.where(f"kind = {_OWN}"), owned.where(f"kind = {_REPLY}")
+    places, written, parents = seated.where(f"kind = {_PLACES}"), [], []
+    for number in range(BURN + SAMPLES):
+        mine = core.unionByName(state).groupBy("shard")
+        moved = scratch.save(mine.cogroup(replies.groupBy("shard")).applyInPandas(moving(parent, number), _ROW))
+        state = moved.where(f"kind = {_STATE}")
+        parent = tuple(int(x or 0) for x in state.agg(F.sum("a"), F.sum("b")).first())
+        told = moved.where(f"kind = {_TELL}").groupBy("shard")
+        added = scratch.save(owners.groupBy("shard").cogroup(told).applyInPandas(adding(number), _ROW))
+        replies = added.where(f"kind = {_REPLY}")
+        if number >= BURN:
+            written += [state, added.where(f"kind = {_TOTAL}")]
+            parents.append(parent)
+    parents = np.array(parents, float)
+    every = places.unionByName(core).unionByName(owners)
+    for x in written:
+        every = every.unionByName(x)
+    answers = every.groupBy("shard").applyInPandas(answer, _ROW).select("chunk", "shard", "blob")
 
     def finish(pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame({"doc_id": [], "held_out": [], "n_tokens": [], "n_known": [], "train_tokens": [], "base_score": [], "score": []})
-        parent, contexts = model.value
         c = Chunk(pdf["text"].tolist(), ~pdf["held_out"].to_numpy(bool))
         known, count = np.zeros(len(c.words)), np.zeros(len(c.pair_word))
         tables, k, tw = np.zeros((SAMPLES, len(count))), np.zeros((SAMPLES, len(known))), np.zeros((SAMPLES, len(known)))
+        contexts = np.zeros((1 + SAMPLES, len(known)))
         blobs = dict(zip(back["shard"], back["blob"], strict=True))
         for s, w, p in c.shards(shards):
             got = _unpack(blobs[s])
@@ -252,11 +401,12 @@ def score(spark: SparkSession, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES,
                 part = np.minimum(got[1], 1).astype(float)
                 part[got[1] > 1] = got[2 + i]
                 tables[i, p], k[i, w], tw[i, w] = part, got[2 + SAMPLES + i], got[2 + 2 * SAMPLES + i]
+            for row, x in zip(contexts, got[2 + 3 * SAMPLES :], strict=True):
+                row[w] = x
         base = (known + 0.1) / (n + 0.1 * (v + 1))
-        cu = contexts[0][c.pair_context].astype(float)
         prob = np.zeros(len(count))
         for i in range(SAMPLES):
-            prob += predict(count, tables[i], c.pair_word, k[i], tw[i], base, cu, contexts[1 + i][c.pair_context].astype(float), parent[:, i])
+            prob += predict(count, tables[i], c.pair_word, k[i], tw[i], base, contexts[0][c.pair_context], contexts[1 + i][c.pair_context], parents[i])
         edge = np.concatenate([[0], np.cumsum(c.sizes)[:-1]])
         over = lambda x: np.add.reduceat(x[c.pair], edge)
         return pd.DataFrame({
@@ -265,4 +415,4 @@ def score(spark: SparkSession, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES,
         })
 
     out = "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return d.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk")).applyInPandas(finish, out).withColumn("doc_id", F.col("doc_id").cast(kind))
+    return d.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(finish, out).withColumn("doc_id", F.col("doc_id").cast(kind))

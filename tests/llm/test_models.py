@@ -133,6 +133,13 @@ def test_language_model_of_odd_rows(spark):
     assert hpylm.score(spark, docs(spark, [])).count() == 0
 
 
+def test_language_model_is_one_model(spark):
+    """However many chunks and shards the texts and words are dealt into."""
+    d = spark.read.parquet(f"{MORE}/documents.parquet").limit(400).localCheckpoint()
+    a, b = ({r["doc_id"]: r["score"] for r in hpylm.score(spark, d, chunk_bytes=c).collect()} for c in (20_000, 1 << 30))
+    assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], rel=1e-9) for i in a)
+
+
 def test_probabilities_sum_to_one():
     """In each context, over all words and the unknown one."""
     rng, words, contexts = np.random.default_rng(1), 30, 5
