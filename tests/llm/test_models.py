@@ -140,6 +140,16 @@ def test_language_model_is_one_model(spark):
     assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], rel=1e-9) for i in a)
 
 
+def test_contexts_are_whole_words(spark):
+    """Over 65,536 distinct words, one context each: what follows a rare word isn't mixed with what follows others."""
+    rows = [(i, f"left{i} right{i} left{i} right{i} left{i} right{i}", "en", "web", 1) for i in range(70_000)]
+    x = hpylm.Chunk([r[1] for r in rows], np.ones(len(rows), bool))
+    assert len(set(x.words[x.pair_context].tolist())) == 2 * len(rows) + 1
+    out = hpylm.score(spark, docs(spark, rows, clash=False), chunk_bytes=3_000_000).where("doc_id < 2000 and not held_out").collect()
+    # left is always followed by its right: the restaurant's own dish outweighs all others
+    assert min(r["score"] for r in out) > -16
+
+
 def test_probabilities_sum_to_one():
     """In each context, over all words and the unknown one."""
     rng, words, contexts = np.random.default_rng(1), 30, 5
