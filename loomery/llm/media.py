@@ -192,22 +192,8 @@ def _vbr(frame: bytes, h: Header) -> dict[str, object]:
     return {}
 
 
-def parse(data: bytes | None) -> Stream:
-    """Read a whole stream. Empty, cut or foreign bytes give a stream with fewer or no frames, and count as skipped."""
-    s, data = Stream(), data or b""
-    at, end = 0, len(data)
-    while (nxt := _id3v2(data, at, s.tags)) > at:
-        at = nxt
-    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
-            s.tags.setdefault(name, data[end + a : end + b].rstrip(b"\0 ").decode("latin-1"))
-    if end - at >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
-        size = int.from_bytes(data[end - 20 : end - 16], "little")
-        has_head = int.from_bytes(data[end - 12 : end - 8], "little") >> 31
-        if 32 <= size <= end - at:
-            s.tags.setdefault("ape_items", str(int.from_bytes(data[end - 16 : end - 12], "little")))
-            end = max(at, end - size - 32 * has_head)
+def _frames(s: Stream, data: bytes, at: int, end: int) -> None:
+    """Add the frames between these offsets to the stream."""
     synced, first = False, True
     word_at = lambda p: int.from_bytes(data[p : p + 4], "big") if p + 4 <= end else 0
     while at + 4 <= end:
@@ -238,6 +224,31 @@ def parse(data: bytes | None) -> Stream:
             s.headers.append(h)
         at += h.length
     s.skipped += max(0, end - at)
+
+
+def _covered(data: bytes, at: int, end: int) -> bool:
+    """Whether a frame runs from before the last 128 bytes to their end: then they are its payload, and no tag."""
+    _frames(s := Stream(), data, at, end)
+    return bool(s.offsets) and s.offsets[-1] < end - 128 and s.offsets[-1] + s.lengths[-1] == end
+
+
+def parse(data: bytes | None) -> Stream:
+    """Read a whole stream. Empty, cut or foreign bytes give a stream with fewer or no frames, and count as skipped."""
+    s, data = Stream(), data or b""
+    at, end = 0, len(data)
+    while (nxt := _id3v2(data, at, s.tags)) > at:
+        at = nxt
+    if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" and not _covered(data, at, end):
+        end -= 128
+        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
+            s.tags.setdefault(name, data[end + a : end + b].rstrip(b"\0 ").decode("latin-1"))
+    if end - at >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
+        size = int.from_bytes(data[end - 20 : end - 16], "little")
+        has_head = int.from_bytes(data[end - 12 : end - 8], "little") >> 31
+        if 32 <= size <= end - at:
+            s.tags.setdefault("ape_items", str(int.from_bytes(data[end - 16 : end - 12], "little")))
+            end = max(at, end - size - 32 * has_head)
+    _frames(s, data, at, end)
     return s
 
 

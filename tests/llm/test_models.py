@@ -194,6 +194,18 @@ def test_payloads_come_back(raw):
     assert media.payload(junk + data, t)[-len(p) :] == p
 
 
+def test_payload_that_looks_like_a_tag():
+    """'TAG' 128 bytes before the end, which is byte 475 of the last block."""
+    for n in (1, 3):
+        p = bytearray(b"x" * (576 * n))
+        p[576 * (n - 1) + 475 : 576 * (n - 1) + 478] = b"TAG"
+        data = media.write(bytes(p))
+        s = media.parse(data)
+        assert data[-128:-125] == b"TAG" and media.payload(data, s) == p and s.skipped == 0 and len(s.offsets) == n
+        tagged = media.parse(data + b"TAG" + b"song".ljust(30, b"\0") + bytes(95))
+        assert tagged.tags["title"] == "song" and tagged.offsets == s.offsets and tagged.skipped == 0
+
+
 def test_damage_is_found():
     data = bytearray(media.write(bytes(576 * 6)))
     s = media.parse(bytes(data))
