@@ -13,6 +13,7 @@ import json
 import re
 from itertools import islice
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -185,7 +186,7 @@ class Trie:
         return out
 
 
-_GAP = re.compile(r" (?=\s|$)")
+_GAP, _CUT = re.compile(r" (?=\s|$)"), re.compile(r" (?=\S)")
 _MARKS = frozenset(".,;:!?")
 
 
@@ -196,10 +197,10 @@ class Encoder:
     unit is kept without that space, in a table of its own; the text before the first cut is in the other.
     """
 
-    def __init__(self, path: str, value, words=None):
-        """value(tokens): what to keep of a unit. words: another way to the tokens of a list of words (bytes)."""
+    def __init__(self, path: str, value):
+        """value(tokens): what to keep of a unit."""
         self.v, self.value = Vocabulary(path), value
-        self.words = words(self.v) if words else Trie(self.v).encode
+        self.words = Trie(self.v).encode
         self.first: dict[str, object] = {}
         self.spaced: dict[str, object] = {}
         special = sorted(self.v.special, key=len, reverse=True)
@@ -208,16 +209,7 @@ class Encoder:
     @staticmethod
     def cut(text: str) -> list[str]:
         """The units: the first as it is, the others without the space before them."""
-        parts = text.split(" ")
-        if _GAP.search(text) is None:
-            return parts
-        out = [parts[0]]
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                out.append(p)
-            else:
-                out[-1] += " " + p
-        return out
+        return text.split(" ") if _GAP.search(text) is None else _CUT.split(text)
 
     @staticmethod
     def words_of(unit: str, lead: str) -> list[str]:
@@ -258,24 +250,48 @@ class Encoder:
         return out
 
 
-def by_library(vocabulary: Vocabulary):
-    """Words' tokens from tiktoken, given the same tokens with their ids as ranks."""
-    import tiktoken
-
-    e = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=vocabulary.ids, special_tokens={})
-    return lambda words: {w: e._encode_single_piece(w) for w in words}
-
-
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, use: str, value, words=None) -> Encoder:
-    """This worker's encoder for a use, which fixes value and words."""
+def encoder(path: str, use: str, value) -> Encoder:
+    """This worker's encoder for a use, which fixes value."""
     if (path, use) not in _encoders:
-        _encoders[path, use] = Encoder(path, value, words)
+        _encoders[path, use] = Encoder(path, value)
     return _encoders[path, use]
 
 
+class WholeTexts:
+    """Whole texts' ids as arrays, from a library's compiled merge routine given the vocabulary's ids as ranks.
+
+    The library's pattern matcher gives up on runs of some million spaces; such texts go through the trie.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        self.path, v = path, Vocabulary(path)
+        self.library = tiktoken.Encoding("own", pat_str=_PATTERN.pattern, mergeable_ranks=v.ids, special_tokens=v.special)
+
+    def ids(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, np.uint32)
+        try:
+            return self.library.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            units = encoder(self.path, "ids", tuple).prepare([text])[0]
+            return np.fromiter((t for u in units for t in u), np.uint32)
+
+
+_whole: dict[str, WholeTexts] = {}
+
+
+def whole_texts(path: str) -> WholeTexts:
+    """This worker's own, made once."""
+    if path not in _whole:
+        _whole[path] = WholeTexts(path)
+    return _whole[path]
+
+
 def encode(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     """doc_id and `ids` array<int> of every whole text; null and empty texts have no ids, null doc_ids stay null."""
 

@@ -1,34 +1,43 @@
 """Vector bin packing of examples under limits on tokens, segments and loss-bearing tokens.
 
-An example of more than `tokens` ids is cut at multiples of it; full pieces are sequences of their own.
-What remains is packed in groups of about `group_rows` pieces, each by the dot-product heuristic: into the
-open sequence goes the piece that fits and whose demands agree best with what the sequence has left,
-both in shares of the limits; if none fits, the next sequence is opened.
+An example's ids are those of its prompt, which bear no loss, those of its text, which do, and an end id 0,
+which doesn't. It is cut where a piece reaches the limit of tokens or of loss-bearing tokens. Full pieces are
+sequences of their own. The others are packed in groups of `group_rows` by the dot-product heuristic: into the
+open sequence goes the piece that fits and whose demands agree best with what the sequence has left, both in
+shares of the limits; if none fits, the next sequence is opened.
+
+Each task packs the pieces of its own rows, so nothing is shuffled and no key can be hot. A task's last group
+may be smaller; at most one sequence of each group is left less than nearly full.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .bpe import by_library, encoder
-from .common import Scratch, map_texts, parts
+from .bpe import whole_texts
+from .common import blocks, columns, ship
 
-TOKENS, SEGMENTS = 1024, 64
+TOKENS, SEGMENTS, GROUP_ROWS = 1024, 64, 4096
+_COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss")
 
 
 def pack(demands: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """The bin of each row of demands (n, d), none of which is over the limits; bins are numbered from 0.
+    """The bin of each row of demands (n, d); bins are numbered from 0. A row over the limits is an error.
 
     Rows with equal demands are taken in their order. An item's agreement is the dot product of its
     demands and the bin's remaining room, in shares of the limits.
     """
+    over = np.flatnonzero((demands > limits).any(1))
+    if len(over):
+        raise ValueError(f"{len(over)} items are over the limits {limits.tolist()}, the first is {demands[over[0]].tolist()}")
     out = np.full(len(demands), -1, np.int64)
     kinds, inverse = np.unique(demands, axis=0, return_inverse=True)
     inverse = inverse.reshape(-1)
@@ -53,62 +62,78 @@ def pack(demands: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(spark: SparkSession, docs: DataFrame, path: str, tokens: int = TOKENS) -> DataFrame:
-    """For each row: doc_id, doc_tokens and its pieces (start, length, ids_crc32, loss), the end id 0 included.
-
-    All ids but the end id bear loss. Null texts are empty: one piece with just the end id.
-    """
-
-    def make():
-        e = encoder(path, "bytes", lambda ts: struct.pack(f"<{len(ts)}I", *ts), by_library)
-
-        def of(texts: list) -> list[list]:
-            sizes, out = [], []
-            for us in e.prepare([t or "" for t in texts]):
-                raw = b"".join(us) + bytes(4)
-                n = len(raw) // 4
-                sizes.append(n)
-                out.append([{"start": s, "length": min(tokens, n - s), "ids_crc32": zlib.crc32(raw[4 * s : 4 * (s + tokens)]), "loss": min(tokens, n - s) - (s + tokens >= n)} for s in range(0, n, tokens)])
-            return [sizes, out]
-
-        return of
-
-    piece = StructType([StructField(n, LongType()) for n in ("start", "length", "ids_crc32", "loss")])
-    return map_texts(docs, ["doc_id"], make, StructType([StructField("doc_tokens", LongType()), StructField("pieces", ArrayType(piece))]))
+def cuts(n: int, prompt: int, tokens: int, loss: int) -> list[tuple[int, int, int]]:
+    """(start, length, loss-bearing ids) of the pieces of n ids: a prompt, loss-bearing ids, the end id."""
+    out, s = [], 0
+    while s < n:
+        e, first = min(s + tokens, n), max(s, prompt)
+        if min(e, n - 1) - first > loss:
+            e = first + loss
+        out.append((s, e - s, max(0, min(e, n - 1) - first)))
+        s = e
+    return out
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, path: str, tokens: int = TOKENS, segments: int = SEGMENTS,
-                   loss: int = TOKENS, group_rows: int = 4096, scratch: Scratch | None = None) -> DataFrame:
-    """All rows' pieces with their sequence_id and offset there; sequences have at most `tokens` ids.
+                   loss: int = TOKENS, group_rows: int = GROUP_ROWS, prompt: str | None = None) -> DataFrame:
+    """All rows' pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset there, loss.
 
-    Ids may be null or repeat (pieces are then told apart by their other columns only). Groups are dealt by a
-    hash of a whole piece's columns, so their size follows group_rows whatever the data; texts aren't shuffled.
+    prompt: the column of prompts, if there is one. Null texts and prompts are empty: such a row is one piece
+    with just the end id. Ids may be null or repeat; each row is packed, and repeated rows are told apart by
+    their sequences only. Without rows there are no pieces. Other columns are left out. A sequence's number holds
+    its task's in the upper 32 bits, so none is given twice; a task that is run again on the same rows gives the same.
     """
-    scratch = scratch or Scratch(spark, "packing")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    each = scratch.save(pieces(spark, docs, path, tokens).select("doc_id", "doc_tokens", F.explode("pieces").alias("p")).select("doc_id", "doc_tokens", "p.*"))
-    key = F.xxhash64("doc_id", "start", "ids_crc32")
-    full = each.where(f"length = {tokens} and loss <= {loss}")
-    rest = each.where(f"not (length = {tokens} and loss <= {loss})")
-    groups = parts(spark, rest.count(), group_rows)
+    if min(tokens, segments, loss) < 1:
+        raise ValueError("each limit must be 1 at least")
+    ship(spark)
     limits = np.array([tokens, segments, loss])
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
-        demands = np.stack([pdf["length"], np.ones(len(pdf), np.int64), np.maximum(pdf["loss"], 0)], 1)
-        pdf["bin"] = pack(demands, limits)
-        pdf = pdf.sort_values(["bin", "length"], ascending=[True, False], kind="stable")
-        pdf["offset"] = pdf.groupby("bin")["length"].cumsum() - pdf["length"]
-        pdf["sequence_id"] = pdf["g"].astype("int64") * (group_rows * 64) + pdf["bin"]
-        return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
-
-    out = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    keyed = rest.withColumn("g", F.pmod(key, F.lit(groups)).cast("long")).withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would make null ids floats
-    filled = keyed.groupBy("g").applyInPandas(fill, out).withColumn("doc_id", F.col("doc_id").cast(kind))
-    # Full pieces are numbered downwards from -1 within the order of their keys' groups, apart from the packed ones.
-    n = parts(spark, full.count(), group_rows)
-    g = F.pmod(key, F.lit(n)).cast("long")
-    row = F.row_number().over(Window.partitionBy("g").orderBy("doc_id", "start", "ids_crc32"))
-    alone = full.withColumn("g", g).withColumn("sequence_id", -(F.col("g") * (group_rows * 64) + row).cast("long"))
-    alone = alone.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"))
-    return filled.unionByName(alone)
+    names = [*dict.fromkeys(["doc_id", "text", *([prompt] if prompt else [])])]
+    d = columns(docs, *names)
+    schema = StructType([d.schema["doc_id"]] + [StructField(n, LongType()) for n in _COLUMNS])
+    id_type = to_arrow_type(d.schema["doc_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, sequence = whole_texts(path).ids, TaskContext.get().partitionId() << 32
+
+        def rows(made: list[tuple]) -> pa.RecordBatch:
+            ids, *rest = zip(*made, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids, type=id_type), *[pa.array(x, type=pa.int64()) for x in rest]], names=schema.names)
+
+        def filled(group: list[tuple]) -> list[tuple]:
+            nonlocal sequence
+            demands = np.array([(p[2], 1, p[5]) for p in group], np.int64)
+            bins = pack(demands, limits)
+            out, offset = [], np.zeros(bins.max() + 1, np.int64)
+            for i in np.lexsort((-demands[:, 0], bins)):
+                p, b = group[i], bins[i]
+                out.append((*p[:5], sequence + int(b), int(offset[b]), p[5]))
+                offset[b] += p[2]
+            sequence += int(bins.max()) + 1
+            return out
+
+        waiting: list[tuple] = []
+        for b in batches:
+            of = lambda n: b.column(b.schema.get_field_index(n)).to_pylist()  # noqa: E731, B023
+            ids, texts = of("doc_id"), of("text")
+            before = of(prompt) if prompt else [None] * len(texts)
+            for lo, hi in blocks([(p or "") + (t or "") for p, t in zip(before, texts, strict=True)] if prompt else texts):
+                done = []
+                for doc_id, text, first in zip(ids[lo:hi], texts[lo:hi], before[lo:hi], strict=True):
+                    lead, x = ids_of(first), ids_of(text)
+                    x = np.concatenate([lead, x, [0]]).astype("<u4")
+                    for s, n, bears in cuts(len(x), len(lead), tokens, loss):
+                        piece = (doc_id, s, n, zlib.crc32(x[s : s + n]), len(x), bears)
+                        if n == tokens:
+                            done.append((*piece[:5], sequence, 0, bears))
+                            sequence += 1
+                        else:
+                            waiting.append(piece)
+                    while len(waiting) >= group_rows:
+                        done += filled(waiting[:group_rows])
+                        waiting = waiting[group_rows:]
+                if done:
+                    yield rows(done)
+        if waiting:
+            yield rows(filled(waiting))
+
+    return d.mapInArrow(run, schema)

@@ -105,6 +105,71 @@ def test_bins_keep_all_limits(items):
         assert (d[bins == b].sum(0) <= limits).all()
 
 
+def test_items_over_a_limit_are_an_error():
+    with pytest.raises(ValueError, match="over the limits"):
+        packing.pack(np.array([[10, 1, 9], [10, 1, 600]]), np.array([1024, 64, 512]))
+    with pytest.raises(ValueError, match="1 at least"):
+        packing.pack_documents(None, None, "", loss=0)
+
+
+@given(st.integers(1, 300), st.integers(0, 299), st.integers(1, 60), st.integers(1, 60))
+@settings(max_examples=300, deadline=None)
+def test_cuts_keep_the_limits(n, prompt, tokens, loss):
+    prompt = min(prompt, n - 1)
+    bears = [prompt <= i < n - 1 for i in range(n)]
+    at = 0
+    for s, length, b in packing.cuts(n, prompt, tokens, loss):
+        assert s == at and 0 < length <= tokens and b == sum(bears[s : s + length]) <= loss
+        at += length
+        # no piece could have been longer
+        assert at == n or length == tokens or (b == loss and bears[at])
+    assert at == n
+
+
+def test_packing_by_brute_force_under_limits_that_bind(spark):
+    """Prompts bear no loss; each limit stops some sequence that the others would let grow."""
+    rng = np.random.default_rng(8)
+    say = lambda n: " ".join(["cat dog sun map"] * n)
+    rows = [(i, say(int(rng.integers(0, 9))), say(int(rng.integers(0, 40))) if i % 3 else say(1)) for i in range(600)] + [(700, None, "x y"), (None, "a", None), (701, say(100), say(200))]
+    d = spark.createDataFrame(rows, "doc_id long, prompt string, text string").coalesce(1)
+    out = packing.pack_documents(spark, d, vocabulary_path(), tokens=256, segments=6, loss=180, group_rows=200, prompt="prompt").collect()
+    raw = {i: np.array([*ids_of(p), *ids_of(t), 0], "<u4") for i, p, t in rows}
+    lead = {i: len(ids_of(p)) for i, p, t in rows}
+    seqs, covered = {}, Counter()
+    for r in out:
+        i, s, n = r["doc_id"], r["start"], r["length"]
+        x = raw[i][s : s + n]
+        assert len(x) == n and zlib.crc32(x.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(raw[i])
+        assert r["loss"] == sum(lead[i] <= j < len(raw[i]) - 1 for j in range(s, s + n))
+        covered[i] += n
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], n, r["loss"]))
+    assert covered == Counter({i: len(x) for i, x in raw.items()})
+    sums = []
+    for p in seqs.values():
+        at = 0
+        for o, n, _ in sorted(p):
+            assert o == at
+            at += n
+        sums.append((at, len(p), sum(x[2] for x in p)))
+    assert all(a <= 256 and b <= 6 and c <= 180 for a, b, c in sums)
+    assert any(b == 6 and a < 240 and c < 170 for a, b, c in sums) and any(c > 175 and a < 250 for a, b, c in sums) and any(a == 256 for a, b, c in sums)
+
+
+def test_packing_of_many_equal_rows(spark):
+    rows = [(7 if i % 2 else None, "the same few words") for i in range(9000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = packing.pack_documents(spark, d, vocabulary_path(), group_rows=500).collect()
+    seqs = packed_right(rows, out)
+    tokens = sum(n for p in seqs.values() for _, n in p)
+    assert len(out) == 9000 and tokens >= 0.9 * 64 * 5 * len(seqs)  # 64 segments of 5 ids
+
+
+def test_whole_texts_are_the_librarys():
+    w = bpe.whole_texts(vocabulary_path())
+    for t in [None, "", "a<|endoftext|>b <|endoftext|", " " * 1_500_000 + "a b", "x" * 100_000, *[r[1] for r in ROWS], "".join(f"a{chr(c)}1 {chr(c)}." for c in range(0x20, 0x3000))]:
+        assert w.ids(t).tolist() == ids_of(t)
+
+
 def test_dot_product_order():
     """The item that agrees best with the room left is taken, in plain steps."""
     rng = np.random.default_rng(2)
