@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -53,10 +54,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one run in the shared folder. They cut lineage: a lost executor costs no more than a stage."""
+    """Tables of one run in the shared folder. They cut lineage: a lost executor costs no more than a stage.
+
+    What is returned may read them, so those that weren't dropped before go when the driver ends, or by close().
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        atexit.register(self.close)
         self.at: dict[int, str] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
@@ -70,10 +75,18 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t._scratch)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(t._scratch)
+
+    def close(self) -> None:
+        """Delete the run's folder, if the session still runs."""
+        atexit.unregister(self.close)
+        if self.spark.sparkContext._jsc is not None:
+            self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def bounded(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:

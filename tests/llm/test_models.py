@@ -133,13 +133,64 @@ def test_language_model_of_odd_rows(spark):
     assert hpylm.score(spark, docs(spark, [])).count() == 0
 
 
-def test_language_model_is_one_model(spark):
+def test_language_model_is_one_model(spark, monkeypatch):
     """However many chunks and shards the texts and words are dealt into."""
-    d = spark.read.parquet(f"{MORE}/documents.parquet").limit(400).localCheckpoint()
+    d = spark.read.parquet(f"{MORE}/documents.parquet").orderBy("doc_id").limit(400)
+    found = []
+    monkeypatch.setattr(hpylm, "heavy_words", lambda d, n, of=hpylm.heavy_words: found.append(of(d, n)) or found[-1])
     a, b = ({r["doc_id"]: r["score"] for r in hpylm.score(spark, d, chunk_bytes=c).collect()} for c in (20_000, 1 << 30))
+    assert len(found[0].words) > 3 and found[0].parts.max() > 1 and not len(found[1].words)  # some are dealt over many shards
     assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], rel=1e-9) for i in a)
 
 
+def test_scores_by_brute_force(spark):
+    """Counts, totals and probabilities gathered by loops over all token pairs; only the draws are the operator's."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{MORE}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(60).collect()] + [(-1, None), (-2, ""), (-3, "unheard-of words only")]
+    name = lambda w: hpylm._END if w is None else hpylm.word_hashes(w)[0]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    pairs = {i: list(zip([hpylm._START, *map(name, words_of(t)[:-1])], map(name, words_of(t)), strict=True)) for i, t in rows}
+    c = Counter(p for i, ps in pairs.items() if not held(i) for p in ps)
+    known, n = Counter(), 0
+    for (_, w), x in c.items():
+        known[w] += x
+        n += x
+    v, t, tw = len(known), dict.fromkeys(c, 1), dict.fromkeys(known, 1)
+    base = lambda w: (known[w] + 0.1) / (n + 0.1 * (v + 1))
+    prob = Counter()
+    D, TH, D0, TH0 = hpylm.D, hpylm.THETA, hpylm.D0, hpylm.THETA0
+    for number in range(hpylm.BURN + hpylm.SAMPLES):
+        turn, served, k = hpylm._turn(number), Counter(), Counter()
+        for (u, w), x in t.items():
+            served[u] += x
+            k[w] += x
+        big, tall = sum(k.values()), sum(tw.values())
+        p0 = lambda w: (k[w] - D0 * tw.get(w, 0) + (TH0 + D0 * tall) * base(w)) / (TH0 + big)  # noqa: E731, B023
+        many = [p for p in c if c[p] > 1]
+        key = hpylm._pair_keys(np.array([w for _, w in many]), np.array([u for u, _ in many])) ^ turn
+        new = hpylm.draw_tables(np.array([c[p] for p in many]), None, np.array([served[p[0]] - t[p] for p in many]), np.array([p0(p[1]) for p in many]), D, TH, key)
+        t |= {p: int(x) for p, x in zip(many, new, strict=True)}
+        words, k = list(known), Counter()
+        for (_, w), x in t.items():
+            k[w] += x
+        new = hpylm.draw_tables(np.array([k[w] for w in words]), None, np.array([tall - tw[w] for w in words], float), np.array([base(w) for w in words]), D0, TH0, hpylm.mix64(np.array(words)) ^ turn)
+        tw = {w: int(x) for w, x in zip(words, new, strict=True)}
+        if number >= hpylm.BURN:
+            served, of = Counter(), Counter()
+            for (u, w), x in t.items():
+                served[u] += x
+                of[u] += c[u, w]
+            big, tall = sum(k.values()), sum(tw.values())
+            for ps in pairs.values():
+                for u, w in set(ps):
+                    prob[u, w] += 0
+            for u, w in prob:
+                prob[u, w] += (c[u, w] - D * t.get((u, w), 0) + (TH + D * served[u]) * p0(w)) / (TH + of[u]) / hpylm.SAMPLES
+    out = {r["doc_id"]: r["score"] for r in hpylm.score(spark, spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=20_000).collect()}
+    assert len(out) == len(rows)
+    for i, ps in pairs.items():
+        assert out[i] == pytest.approx(sum(math.log10(prob[p]) for p in ps), rel=1e-9), i
+
+
 def test_contexts_are_whole_words(spark):
     """Over 65,536 distinct words, one context each: what follows a rare word isn't mixed with what follows others."""
     rows = [(i, f"left{i} right{i} left{i} right{i} left{i} right{i}", "en", "web", 1) for i in range(70_000)]
