@@ -21,22 +21,27 @@ TOXIC_FROM = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score TOXIC_FROM or more go; null, empty and repeated rows score like others; without labels none goes."""
     return toxicity.without_toxic(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TOXIC_FROM)
 
 
 def drop_without_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without a letter or in no learned language go; repeated rows share their fate; without labelled rows all with a letter stay."""
     return langid.with_language(spark, docs)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay; lines go by their share of a source's texts (a null source is the empty one), long ones by their texts; blank lines and null texts stay."""
     return lines.documents_without_boilerplate(spark, docs, LINE_PERCENT, LINE_TEXTS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group stays, with the least id (rows without ids too are told apart); rows without words stay."""
     return neardup.without_copies(spark, docs, words=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row is packed; a null or empty text is its end id alone; repeated rows are packed each. Only pieces come back."""
     return packing.pack_documents(spark, docs, vocabulary_path())
 
 

@@ -9,7 +9,8 @@ pairs are candidates. The vertices of larger buckets are compared by an exact fi
 are similar enough share one of their rarest shingles (a prefix in the order of rising frequency), at
 places that leave room for the overlap needed. There, each vertex is first compared with one leader for
 each shingle, the one with the fewest rarer shingles; then only what still lies in different components is
-compared. No candidate is dropped or capped, and no group's pairs are all made.
+compared. No candidate is dropped or capped. Near copies of each other are joined by their leaders, so their pairs
+aren't all made; pairs that share a rare shingle and yet lie in different components are, for each such shingle.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ class NearDup:
     percent: int = 80
 
     def sketch(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n (set size), v (vertex; null for the empty set) and the set's bands."""
+        """docs (doc_id, text and others) without text, and n (set size), v (vertex; null for the empty set) and the set's bands."""
         words = self.words
 
         def of(texts: list) -> list[list]:
@@ -122,10 +123,10 @@ class NearDup:
             return [[len(s) for s in sets], [vertex(s) if len(s) else None for s in sets], [bands(signature(s)) if len(s) else None for s in sets]]
 
         fields = [StructField("n", LongType()), StructField("v", LongType()), StructField("bands", ArrayType(LongType()))]
-        return map_texts(docs, ["doc_id"], lambda: of, StructType(fields))
+        return map_texts(docs, [c for c in docs.columns if c != "text"], lambda: of, StructType(fields))
 
     def sets(self, docs: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
-        """(v, s) of the wanted vertices (v, rep): their sets again, from the texts of the documents rep."""
+        """(v, s) of the wanted vertices (v, rep, h): their sets again, from texts of hash h in the documents rep (which may be null)."""
         words = self.words
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,8 +135,10 @@ class NearDup:
                 ok = [len(x) > 0 and vertex(x) == v for x, v in zip(s, b["v"], strict=True)]
                 yield pd.DataFrame({"v": b["v"][ok], "s": [x.tobytes() for x, y in zip(s, ok, strict=True) if y]})
 
-        d = columns(docs, "doc_id", "text").join(bounded(wanted.select(F.col("rep").alias("doc_id"), "v"), count), "doc_id")
-        return d.select("v", "text").mapInPandas(run, "v long, s binary").groupBy("v").agg(F.first("s").alias("s"))
+        w = bounded(wanted.select("rep", "h", "v"), count)
+        d = columns(docs, "doc_id", "text").where("text is not null")
+        d = d.join(w, (F.xxhash64(d["text"]) == w["h"]) & d["doc_id"].eqNullSafe(w["rep"])).select("v", "text")
+        return d.mapInPandas(run, "v long, s binary").groupBy("v").agg(F.first("s").alias("s"))
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets are similar enough."""
@@ -149,18 +152,18 @@ class NearDup:
         full = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return full.mapInPandas(run, "a long, b long")
 
-    def groups(self, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-        """For each row: doc_id, n_shingles, component_id (least doc_id reachable), kept.
+    def tagged(self, docs: DataFrame, scratch: Scratch, rows: bool = False) -> DataFrame:
+        """For each row: doc_id, n, v, rid (a number of its own), lead (the struct that is least in its component) and, if asked for, the row itself.
 
-        Null and empty texts, and texts without words, have n_shingles 0 and are linked with nothing. Rows
-        without id link others but get no component of their own, and are kept. A repeated doc_id is taken
-        row by row. Other columns of docs are left out.
+        lead has no_id, id and rid: the least doc_id and one row that has it, or without ids one of the rows. It is null
+        for the empty set.
         """
         spark, percent = self.spark, self.percent
-        scratch = scratch or Scratch(spark, "neardup")
-        d = scratch.save(self.sketch(docs))
-        whole = d.where("v is not null and doc_id is not null")
-        reps = scratch.save(whole.groupBy("v").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+        whole_row = [F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")] if rows else []
+        keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), *whole_row)
+        d = scratch.save(self.sketch(keyed).withColumn("rid", F.monotonically_increasing_id()))
+        me = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "rid", "h")
+        reps = scratch.save(d.where("v is not null").groupBy("v").agg(F.min(me).alias("lead"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
         keyed = reps.select("v", "n", F.explode("bands").alias("key"))
         full = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
         shared = scratch.save(keyed.join(full, "key"))
@@ -169,20 +172,35 @@ class NearDup:
         near = f"v < b and least(n, nb) * 100 >= greatest(n, nb) * {percent}"
         pairs = scratch.save(small.join(other, "key").where(near).select(F.col("v").alias("a"), "b").distinct())
         hot = scratch.save(shared.where(f"size > {SMALL}").select("v").distinct())
-        wanted = pairs.select("a").union(pairs.select("b")).union(hot).distinct().toDF("v").join(reps.select("v", "rep"), "v")
+        scratch.drop(shared)
+        wanted = pairs.select("a").union(pairs.select("b")).union(hot).distinct().toDF("v").join(reps.select("v", F.col("lead.id").alias("rep"), F.col("lead.h").alias("h")), "v")
         wanted = scratch.save(wanted)
         sets = scratch.save(self.sets(docs, wanted, wanted.count()))
         links = scratch.save(self.confirm(pairs, sets))
         if hot.count():
             links = self._hot(hot, sets, links, scratch)
+        scratch.drop(sets)
         many = reps.where("copies > 1").select("v")
         found = components(spark, links, scratch) if links.count() else links.toDF("v", "c")
-        grouped = reps.select("v", "rep").join(found.union(many.select("v", F.col("v").alias("c")).join(found.select("v"), "v", "left_anti")), "v")
-        least = grouped.groupBy("c").agg(F.min("rep").alias("component_id"))
-        to = scratch.save(grouped.join(least, "c").select("v", "component_id"))
-        out = d.join(bounded(to), "v", "left")
-        cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-        return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
+        grouped = reps.select("v", "lead").join(found.union(many.select("v", F.col("v").alias("c")).join(found.select("v"), "v", "left_anti")), "v")
+        least = grouped.groupBy("c").agg(F.min("lead").alias("lead"))
+        to = scratch.save(grouped.select("v", "c").join(least, "c").select("v", "lead"))
+        alone = F.when(F.col("v").isNotNull(), F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "rid", "h"))
+        out = d.join(bounded(to), "v", "left").withColumn("lead", F.coalesce("lead", alone))
+        return out.select("doc_id", "n", "v", "rid", F.struct("lead.no_id", "lead.id", "lead.rid").alias("lead"), *(["row"] if rows else []))
+
+    def groups(self, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+        """For each row: doc_id, n_shingles, component_id (least doc_id reachable), kept.
+
+        Null and empty texts, and texts without words, have n_shingles 0, are linked with nothing and are kept. Rows
+        without id link others and have their component's least id; where no row of a component has one, its
+        component_id is null and one of its rows is kept. A repeated doc_id is taken row by row. Other columns of docs
+        are left out.
+        """
+        out = self.tagged(docs, scratch or Scratch(self.spark, "neardup"))
+        cid = F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("lead.id"))
+        kept = F.when(F.col("v").isNull(), True).when(cid.isNull(), F.col("rid") == F.col("lead.rid")).otherwise(F.coalesce(F.col("doc_id") == cid, F.lit(False)))
+        return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"), kept.alias("kept"))
 
     def _hot(self, hot: DataFrame, sets: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
         """links, and all links among the vertices of large buckets, up to what lies in one component already."""
@@ -219,17 +237,10 @@ class NearDup:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
-    """docs with one row of each near-duplicate group, that with the least doc_id; all columns stay.
+    """docs with one row of each near-duplicate group, one that has the least doc_id (without ids, any); all columns stay.
 
-    Of rows that repeat a doc_id in a group, one stays.
+    Rows are told apart by numbers of their own, so a repeated doc_id does no harm: rows of it with unlike texts are in
+    different groups. Rows without words in their text stay.
     """
-    scratch = scratch or Scratch(spark, "neardup")
-    g = scratch.save(NearDup(spark, words, percent).groups(docs, scratch))
-    goes = scratch.save(g.where("not kept").select("doc_id").distinct())
-    twice = scratch.save(g.where("kept and doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    # a repeated doc_id may be kept in one row and not in another only if its texts differ; then all its rows are in one group or kept
-    stays = docs.join(bounded(goes), "doc_id", "left_anti")
-    if not (n := twice.count()):
-        return stays
-    again = stays.join(bounded(twice, n), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return stays.join(bounded(twice, n), "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+    out = NearDup(spark, words, percent).tagged(docs, scratch or Scratch(spark, "neardup"), rows=True)
+    return out.where("v is null or rid = lead.rid").select("row.*")

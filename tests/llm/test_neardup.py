@@ -96,6 +96,27 @@ def test_one_of_each_group_stays(spark):
     assert kept == {i for i, (_, c) in expected(rows, 5, 80).items() if i == c}
 
 
+def test_repeated_ids_of_unlike_texts(spark):
+    """A row goes only for the text it has, whatever other rows have its id."""
+    rows = [(1, "a b c d e f g h", "en", "x", 1), (5, "a b c d e f g h", "en", "x", 1), (5, "quite another text that is nowhere else", "en", "x", 1), (5, "a b c d e f g h", "en", "x", 1), (None, "a b c d e f g h", "en", "x", 1)]
+    out = [(r["doc_id"], r["text"]) for r in neardup.without_copies(spark, docs(spark, rows)).collect()]
+    assert sorted(out) == [(1, rows[0][1]), (5, rows[2][1])]
+    found = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in NearDup(spark, 3, 85).groups(docs(spark, rows)).collect())
+    assert found == [(0, 6, 1, False), (1, 6, 1, True), (5, 5, 5, True), (5, 6, 1, False), (5, 6, 1, False)]
+    none = [(None, t, "en", "x", 1) for t in ["a b c d e f g h", "a b c d e f g h", "A B C D E F G H", "", None]]
+    assert neardup.without_copies(spark, docs(spark, none)).count() == 3
+    assert sorted((r["n_shingles"], r["component_id"] is None, r["kept"]) for r in NearDup(spark, 3, 85).groups(docs(spark, none)).collect()) == [(0, True, True)] * 2 + [(6, True, False)] * 2 + [(6, True, True)]
+
+
+def test_rows_without_id_link_others(spark):
+    base = [f"w{i}" for i in range(100)]
+    edit = lambda t, *at: [f"e{i}" if i in at else w for i, w in enumerate(t)]
+    bridge = edit(base, 10, 50)
+    rows = [(1, " ".join(base), "en", "x", 1), (None, " ".join(bridge), "en", "x", 1), (3, " ".join(edit(bridge, 30, 80)), "en", "x", 1)]
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in NearDup(spark, 3, 85).groups(docs(spark, rows)).collect()) == [(0, 1), (1, 1), (3, 1)]
+    assert {r["doc_id"]: r["component_id"] for r in NearDup(spark, 3, 85).groups(docs(spark, rows[::2])).collect()} == {1: 1, 3: 3}
+
+
 def test_chains_of_links(spark):
     from loomery.llm.common import Scratch
 

@@ -2,8 +2,10 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
-from loomery.llm import langid, toxicity
+from loomery.llm import langid, lines, toxicity
 from tests.conftest import SMALL
 
 from .cases import ROWS, docs, labels
@@ -15,13 +17,22 @@ from .test_tokens import packed_right
 def by_hand(spark, d, lab):
     """(doc_id, text) that reach the last stage. Scores and languages are the operators' own, tested elsewhere."""
     score = {r["doc_id"]: r["score"] for r in toxicity.report(spark, d, lab).collect()}
-    rows = [r for r in d.collect() if score[r["doc_id"]] < cp.TOXIC_FROM]
-    rows = [r for r in rows if r["text"] and any(c.isalpha() for c in r["text"])]
-    distinct = {(r["source"] or "", tuple(dict.fromkeys(s for s in r["text"].split("\n")))): None for r in rows}
-    bad = _boilerplate([(s, ls) for s, ls in distinct], cp.LINE_PERCENT, cp.LINE_TEXTS)
+    d = d.where(F.col("doc_id").isin([i for i, x in score.items() if x < cp.TOXIC_FROM]))
+    known = {r["doc_id"] for r in langid.predict(spark, d, langid.fit(spark, d)).where("known").collect()}
+    rows = [r for r in d.collect() if r["doc_id"] in known]
+    page = {i: c for i, (_, c) in expected([(r["doc_id"], r["text"]) for r in rows], 5, 80).items()}
+    on = {}  # by source and group of near copies
+    for r in rows:
+        on.setdefault((r["source"] or "", page[r["doc_id"]]), set()).update(r["text"].split("\n"))
+    bad = _boilerplate([(s, ls) for (s, _), ls in on.items()], cp.LINE_PERCENT, cp.LINE_TEXTS)
+    groups = {}
+    for (_, g), ls in on.items():
+        for x in ls:
+            groups.setdefault(x, set()).add(g)
+    long = {x for x, g in groups.items() if len(x.split()) >= lines.LONG_WORDS and len(g) >= lines.LONG_TEXTS}
     out = []
     for r in rows:
-        kept = [s for s in r["text"].split("\n") if s not in bad[r["source"] or ""]]
+        kept = [s for s in r["text"].split("\n") if s not in bad[r["source"] or ""] and s not in long]
         out.append((r["doc_id"], "\n".join(kept)))
     groups = expected(out, 5, 80)
     return [(i, t) for i, t in out if groups[i][1] == i]

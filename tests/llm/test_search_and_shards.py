@@ -82,14 +82,25 @@ def _boilerplate(pages, percent, least):
     """By host: lines on over percent % of its pages."""
     hosts = {}
     for host, ls in pages:
-        hosts.setdefault(host, []).append(set(ls))
+        hosts.setdefault(host, []).append(set(ls) - {"", None})
     out = {}
     for host, sets in hosts.items():
         n = Counter(x for s in sets for x in s)
-        out[host] = {x for x, k in n.items() if len(sets) >= least and k * 100 > len(sets) * percent and k > 1}
+        out[host] = {x for x, k in n.items() if len(sets) >= least and k * 100 > len(sets) * percent}
     return out
 
 
+@pytest.mark.parametrize(("n", "percent", "least"), [(2, 30, 2), (1, 30, 1), (9, 5, 3)])
+def test_few_pages(spark, n, percent, least):
+    """Lines of a single page go too, if it is a share large enough."""
+    pages = [("h", [f"l{i}", "all", "", None]) for i in range(n)]
+    df = spark.createDataFrame([(i, h, x, "theirs", 7) for i, (h, x) in enumerate(pages)], "i long, h string, x array<string>, host_pages string, _bad int")
+    out = lines.drop_boilerplate(spark, df, "h", "x", percent, least)
+    assert out.columns == ["i", "_bad", "h", "x", "host_pages", "n_dropped"]
+    bad = _boilerplate(pages, percent, least)
+    assert {r["i"]: (r["x"], r["host_pages"], r["_bad"]) for r in out.collect()} == {i: ([x for x in ls if x not in bad[h]], n, 7) for i, (h, ls) in enumerate(pages)}
+
+
 def test_lines_by_brute_force(spark):
     rng = np.random.default_rng(5)
     pages = [(f"h{min(i % 5, 2)}", [f"l{x}" for x in rng.zipf(1.5, 6) % 40] + [f"own {i}"]) for i in range(120)]
@@ -105,14 +116,44 @@ def test_lines_of_odd_pages(spark):
     assert out == {1: ("", "", 0), 2: ("", "", 0), 3: ("a.b", "x\ny", 2), None: ("", "z", 1)}
 
 
+def test_long_pages_and_clashing_names(spark):
+    """Pages of many lines; columns named like those that are added or used."""
+    long = "".join(f"<p>line {i} of it</p>" for i in range(20_000))
+    df = spark.createDataFrame([(i, "http://a/x", f"<p>nav</p>{long if i < 2 else ''}<p>own {i}</p>", "x", "y", "z") for i in range(8)], "page_id long, url string, html string, host string, host_pages string, _lines string")
+    out = {r["page_id"]: r for r in lines.pages_without_boilerplate(spark, df).collect()}
+    assert out[1]["n_lines"] == 20_002 and out[1]["n_dropped"] == 1 and out[5]["text"] == "own 5" and out[5]["host_pages"] == 8
+
+
+def test_near_copies_count_once(spark):
+    """A group of near copies with over 10 % of a source doesn't make its lines boilerplate; blank lines stay."""
+    rng = np.random.default_rng(9)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    shared = [say(8) for _ in range(12)]
+    copies = ["\n".join([*shared[:6], "", f"edit {i}", *shared[6:]]) for i in range(20)]
+    rows = [(i, t, "en", "web", 1) for i, t in enumerate(copies + [f"{say(20)}\n\n{say(9)}" for _ in range(60)])]
+    out = {r["doc_id"]: r["text"] for r in lines.documents_without_boilerplate(spark, docs(spark, rows), 10, 20).collect()}
+    assert out == {r[0]: r[1] for r in rows}
+
+
+def test_passages_go_whatever_their_share(spark):
+    """A line of 50 words in 10 texts of a large source, or of several; in 9 it stays, as do shorter ones."""
+    rng = np.random.default_rng(10)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    long, spread, few, short = say(60), say(50), say(60), say(49)
+    texts = [[say(30), *([long] if i < 10 else []), *([spread] if i % 40 == 0 else []), *([few] if 20 <= i < 29 else []), *([short] if i % 17 == 3 else []), say(150)] for i in range(400)]
+    rows = [(i, "\n".join(t), "en", "hot" if i % 80 else f"s{i}", 1) for i, t in enumerate(texts)]
+    out = {r["doc_id"]: r["text"] for r in lines.documents_without_boilerplate(spark, docs(spark, rows), 10, 20).collect()}
+    assert out == {i: "\n".join(x for x in t if x not in (long, spread)) for i, t in enumerate(texts)}
+
+
 def test_documents_keep_rows_and_columns(spark):
     d = docs(spark)
-    out = lines.documents_without_boilerplate(spark, d, 10, 5)
+    out = lines.documents_without_boilerplate(spark, d, 30, 5)
     assert out.schema.names == d.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in d.schema]
     assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter((r[0], r[1]) for r in ROWS)
 
 
 def test_boilerplate_lines_go_from_documents(spark):
-    rows = [(i, f"Subscribe now\n  own {i}\nend {i}", "en", "web", 9) for i in range(30)] + [(99, None, None, "web", None)]
+    rows = [(i, f"Subscribe now\n  own {i}\nend {i} {i * i} {i + 7}", "en", "web", 9) for i in range(30)] + [(99, None, None, "web", None)]
     out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in lines.documents_without_boilerplate(spark, docs(spark, rows), 10, 20).collect()}
-    assert out == {i: (f"  own {i}\nend {i}", len(f"  own {i}\nend {i}")) for i in range(30)} | {99: (None, None)}
+    assert out == {i: (t, len(t)) for i in range(30) for t in [f"  own {i}\nend {i} {i * i} {i + 7}"]} | {99: (None, None)}
