@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import Scratch, blocks, columns, map_texts, ship
+from .neardup import shingle_set
 
 #: Labelled rows that a model is fitted on at most, those with the smallest hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -28,11 +28,16 @@ WINDOW = 8
 NO_HITS_MOST = 0.25
 _TOKEN = re.compile(r"[^\W_]+")
 _QUOTES = re.compile("[\"“”„«»]")
-_REPORT = re.compile(r"(?:quote[sd]?|said|says|wrote|writes|the words?|called|the term)\W*$")
+#: What comes before reported words, in English, German, French and Spanish.
+_REPORT = re.compile(
+    r"\b(?:quote[sd]?|said|says|wrote|writes|the words?|called|the term|sagte|sagt|schrieb|schreibt|nannte|zitiert|das wort"
+    r"|dit|disait|écrit|écrivait|appelé|le mot|cite|dijo|dice|escribió|escribe|llamó|la palabra|cita)\W*$"
+)
 EDGES = [0.0, 0.25, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 32.0]
 
 
 def edits_for(length: int) -> int:
+    """Terms of 3 or 4 letters are found as they are only: one edit leads from them to too many clean words."""
     return 0 if length < 5 else 1 if length < 9 else 2
 
 
@@ -198,6 +203,18 @@ def monotone(good: list[float], bad: list[float]) -> list[float]:
     return [b / (g + b) for g, b, n in blocks for _ in range(int(n))]
 
 
+def one_of_near_copies(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of texts (TRAIN_ROWS at most) with one least shingle and label, one of those that share half of their shingles."""
+    kept: list[tuple[int, np.ndarray]] = []
+    rows = []
+    for text, toxic in pdf.sort_values(["text", "toxic"])[["text", "toxic"]].itertuples(index=False):
+        s = shingle_set(text, 3)
+        if not any(t == toxic and 2 * (both := len(np.intersect1d(s, x, assume_unique=True))) > len(s) + len(x) - both or not len(s) + len(x) for t, x in kept):
+            kept.append((toxic, s))
+            rows.append((text, toxic))
+    return pd.DataFrame(rows, columns=["text", "toxic"])
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> Model:
     """Learn a model from labelled rows whose crc32(doc_id) mod 4 is not 2, at most TRAIN_ROWS of them.
 
@@ -214,11 +231,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratc
     some = some.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     text = columns(docs, "doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id")
     text = scratch.save(text.groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("i")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")))
-    # Near copies mostly have the same least hash of three words; one of them counts, else their rare words would look like terms.
+    # Near copies mostly have the same least hash of three words; of those that share half their shingles, too, one counts, else their rare words would look like terms.
     w = F.split(F.lower("text"), r"\s+")
     three = F.arrays_zip(w, F.slice(w, F.lit(2), F.size(w)), F.slice(w, F.lit(3), F.size(w)))
     text = text.withColumn("k", F.array_min(F.transform(three, lambda x: F.xxhash64(x))))
-    text = scratch.save(text.groupBy("k", "toxic").agg(F.min("text").alias("text")))
+    text = scratch.save(text.groupBy("k").applyInPandas(one_of_near_copies, "text string, toxic int"))
     n = {r[0]: r[1] for r in text.groupBy("toxic").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     words = text.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")).where("length(w) between 3 and 40")
@@ -292,10 +309,11 @@ def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, least
 
 
 def report(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row.
+
+    A null doc_id counts as an empty string in held_out, and teaches nothing; repeated rows give repeated results;
+    null and empty texts score as texts without a term; without rows there are none. Without labels all scores are low.
+    """
     out = score(spark, docs, fit(spark, docs, labels))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
-
-
-def held_out(doc_id: int) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 4 == 2

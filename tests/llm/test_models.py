@@ -58,6 +58,49 @@ def test_toxicity_of_held_out_rows(spark):
     assert hit[1, 1] >= 0.8 * (hit[1, 1] + hit[1, 0]) and hit[0, 1] <= 0.05 * (hit[0, 1] + hit[0, 0])
 
 
+def test_near_copies_teach_once():
+    import pandas as pd
+
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(base, 1), (base + " more", 1), (base + " other", 0), ("w0 w1 w2 " + " ".join(f"x{i}" for i in range(40)), 1)]
+    out = toxicity.one_of_near_copies(pd.DataFrame(rows, columns=["text", "toxic"]))
+    assert sorted(out["text"]) == sorted(r[0] for r in rows if r != rows[1])  # sharing a shingle isn't enough
+
+
+def test_scores_of_texts_by_brute_force():
+    """Points from plain edit distances of all words to all terms, windows and quotes by hand."""
+    terms = {"vermin": 1.0, "scumbag": 1.5, "rat": 0.5}
+    m = toxicity.Model(terms, {"vermin": 0.8, "scumbag": 1.2, "rat": 0.5}, {"vermine": 0.0}, [i / 20 for i in range(len(toxicity.EDGES))])
+    s = toxicity.Scorer(m)
+    rng = np.random.default_rng(4)
+    pool = ["vermin", "vermim", "vermine", "scumbag", "scumbg", "scunbags", "rat", "rats", "the", "house", "and", "cat", '"', "wrote:"]
+    for _ in range(60):
+        words = [str(w) for w in rng.choice(pool, 25)]
+        text, hits = " ".join(words), []
+        tokens = [(x.group(), x.start(), x.end()) for x in re.finditer(r"[^\W_]+", text)]
+        for i, (w, a, b) in enumerate(tokens):
+            near = [(lev(w, t), -x, t) for t, x in terms.items() if lev(w, t) <= toxicity.edits_for(len(t))]
+            if near:
+                e, _, t = min(near)
+                weight = terms[t] if not e else m.variants.get(w, m.unseen[t] * (1.25 - 0.25 * e))
+                if weight > 0:
+                    hits.append((i, a, b, weight))
+        want = 0.0
+        for i, a, b, weight in hits:
+            quoted = text[:a].count('"') % 2 == 1 and '"' in text[b : b + 400]
+            told = re.search(r"wrote\W*$", text[max(0, a - 40) : a]) is not None
+            want += weight * (0.3 if quoted or told else 1) * (1 + 0.25 * min(4, sum(0 < abs(x[0] - i) <= toxicity.WINDOW for x in hits)))
+        assert s.points([text])[0] == pytest.approx(want)
+        assert s.score(want) == m.table[max(i for i, e in enumerate(toxicity.EDGES) if e <= want)]
+
+
+@pytest.mark.parametrize("lead", ["he said: ", "er sagte: ", "elle a dit : ", "ella escribió: "])
+def test_reported_terms_count_less(lead):
+    s = toxicity.Scorer(toxicity.Model({"vermin": 1.0}, {}, {}, [0.0] * len(toxicity.EDGES)))
+    told, plain = s.points([f"{lead}vermin", "vermin"])
+    assert told < plain
+
+
 def test_toxicity_of_odd_rows(spark):
     for lab in ([], [(1, 1, 1), (2, 1, 0), (None, 0, 1), (6, None, None), (77, 0, 1)]):
         out = toxicity.report(spark, docs(spark), labels(spark, lab)).collect()
@@ -88,6 +131,52 @@ def test_language_of_odd_rows(spark):
     assert langid.report(spark, docs(spark, [])).count() == 0
 
 
+def test_languages_by_brute_force(spark):
+    """Prototypes and decisions from all pairs of text and language, in plain loops."""
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang").collect()
+    s = langid.Space()
+    vec = {r["doc_id"]: s.vectors([r["text"]])[0].astype(float) for r in rows}
+    sums = {}
+    for r in rows:
+        if r["lang"] and r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + vec[r["doc_id"]]
+    near = lambda v: sorted(((-float(v @ (p / np.linalg.norm(p))), lang) for lang, p in sums.items()))
+    for r in queries()["op10_hyperdimensional_langid"](spark, SMALL).collect():
+        v = vec[r["doc_id"]]
+        if not v.any():
+            assert r["lang_pred"] == "und" and r["score"] == 0
+            continue
+        (a, lang), (b, _) = near(v)[:2]
+        assert abs(r["score"] - max(0, -a)) < 1e-4 and (r["lang_pred"] == lang or b - a < 1e-4)
+
+
+def test_rows_that_teach_languages(spark):
+    """About so many rows of each language, all of a rare one, whatever the counts: none is rounded away."""
+    rows = [(i, f"text {i}", "rare" if i in (4, 1005, 1501) else "en" if i % 3 else "de", "web", 1) for i in range(3000)]
+    d = docs(spark, rows)
+    place = {r[0]: r[1] for r in langid.labelled(d).selectExpr("doc_id", "pmod(xxhash64(3, doc_id, text), 9007199254740992) / 9007199254740992D").collect()}
+    got = lambda n, rows: Counter(r["lang"] for r in langid.training(d, spark.createDataFrame(n, "lang string, n long"), rows).collect())
+    all_rows = got([("en", 1), ("de", 1), ("rare", 1)], 1)
+    assert sum(all_rows.values()) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(3000))
+    some = got([("en", all_rows["en"] * 10), ("de", all_rows["de"]), ("rare", all_rows["rare"])], 1000)
+    assert 60 < some["en"] < 140 and some["de"] == all_rows["de"] and some["rare"] == all_rows["rare"] > 0
+    least = min(place, key=place.get)
+    place_of = place[least]
+    assert got([(rows[least][2], int(5000 / place_of) - 1)], 5000).total() >= 1  # the share isn't cut off at a millionth
+
+
+def test_texts_of_no_language_go(spark):
+    """Junk with letters is rejected by its cosine; clean rows of learned languages and texts too short to tell stay."""
+    d = spark.read.parquet(f"{MORE}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    rng = np.random.default_rng(3)
+    junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789+/"), 800)) for _ in range(5)] + [" ".join("".join(rng.choice(list("bcdfgjklmpqvwxz"), 6)) for _ in range(90)) for _ in range(5)] + [" ".join("".join(rng.choice(list("абвгдежзийклмнопрсту"), 6)) for _ in range(90))]
+    planted = spark.createDataFrame([(10_000_000 + i, t, "en" if i == 0 else None, "web", 1) for i, t in enumerate(junk)] + [(11_000_000, "ok.", None, "web", 1)], d.schema)
+    kept = {r["doc_id"] for r in langid.with_language(spark, d.unionByName(planted)).collect()}
+    assert not [i for i in kept if 10_000_000 <= i < 11_000_000] and 11_000_000 in kept
+    clean = {r["doc_id"] for r in d.where("length(text) > 20").collect()}
+    assert len(clean - kept) <= 0.002 * len(clean)
+
+
 def test_bundles_by_brute_force():
     s, text = langid.Space(), "Abc, déf abc"
     want, low = np.zeros(langid.DIM), " abc déf abc "
