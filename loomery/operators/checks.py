@@ -57,17 +57,20 @@ def relationships(child: DataFrame, column: str, parent: DataFrame, field: str)
 def profile(df: DataFrame, columns: list[str] | None = None, batch: int = 16) -> DataFrame:
     """(column_name, test, num_errors, passed) of not_null and unique for each column.
 
-    All not_null counts come from one aggregate over one scan. unique is counted by one aggregate of
-    distinct values for each batch of columns, as each distinct count multiplies the rows expanded;
-    num_errors of unique is non-null rows beyond the distinct ones.
+    num_errors of not_null is null rows, of unique the values that repeat. Each batch of columns is one scan and one
+    count by (column, value), null being a value: a row becomes one small row a column, summed in each task before
+    the shuffle, so no common value is a burden.
     """
-    columns = columns or df.columns
-    frames = []
+    columns, frames = columns or df.columns, []
     for lo in range(0, len(columns), batch):
         part = columns[lo : lo + batch]
-        aggs = [a for i, c in enumerate(part) for a in (F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}"), (F.count(F.col(f"`{c}`")) - F.count_distinct(F.col(f"`{c}`"))).alias(f"u{i}"))]
-        rows = [F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("test"), F.col(f"{k}{i}").alias("num_errors")) for i, c in enumerate(part) for t, k in (("not_null", "n"), ("unique", "u"))]
-        frames.append(df.agg(*aggs).select(F.explode(F.array(*rows)).alias("x")).select("x.*"))
+        values = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(part)])
+        seen = df.select(F.explode(values).alias("x")).select("x.i", "x.v").groupBy("i", "v").agg(F.count("*").alias("n"))
+        errors = seen.groupBy("i").agg(F.sum(F.when(F.col("v").isNull(), F.col("n"))).alias("nulls"), F.count_if((F.col("n") > 1) & F.col("v").isNotNull()).alias("repeated"))
+        names = F.element_at(F.array(*[F.lit(c) for c in part]), F.col("i") + 1)
+        every = df.sparkSession.range(len(part)).select(F.col("id").cast("int").alias("i")).join(F.broadcast(errors), "i", "left")  # a row a column
+        rows = [F.struct(names.alias("column_name"), F.lit(t).alias("test"), F.coalesce(n, F.lit(0)).alias("num_errors")) for t, n in (("not_null", "nulls"), ("unique", "repeated"))]
+        frames.append(every.select(F.explode(F.array(*rows)).alias("x")).select("x.*"))
     return reduce(DataFrame.unionAll, frames).withColumn("passed", F.col("num_errors") == 0)
 
 

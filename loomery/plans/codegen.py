@@ -137,7 +137,3 @@ def isolate(project: Project, folder: str, *selectors: str) -> list[str]:
         with open(full, "w", encoding="utf-8") as f:
             f.write(text)
     return sorted(texts)
-
-
-def load_yaml(text: str) -> Any:
-    return yaml.safe_load(text)

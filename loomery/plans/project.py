@@ -10,7 +10,7 @@ import json
 import os
 import re
 import threading
-import time
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -87,6 +87,7 @@ class Project:
         self.by_suffix: dict[str, str] = {}
         self.compiled = False
         self.overrides: dict[str, Any] = {}
+        self.rendering = threading.local()
         for path in sorted(self.texts):
             self._add(path)
 
@@ -187,9 +188,12 @@ class Project:
                 f.needs.add(up.name)
             if not self.enabled(up):
                 raise TemplateError(f"{f.path} needs {up.path}, which is disabled")
-            if up.template is not None and not up.sql and up is not f and not up.config:
+            chain = self._chain()
+            if up.template is not None and not up.sql and up.name not in chain and not up.config:
                 self.first_pass(up)
             if self.materialization(up) == "ephemeral" and up is not f:
+                if up.name in chain:
+                    raise TemplateError("models go in a circle: " + " -> ".join([*chain[chain.index(up.name) :], up.name]))
                 if up.name not in ctes:
                     inner = self.render(up, execute, within, ctes)
                     ctes[up.name] = inner
@@ -299,8 +303,18 @@ class Project:
     def render(self, f: File, execute: bool, within: set[str] | None = None, ctes: dict[str, str] | None = None) -> str:
         """The file's text, without the definitions of inlined models, which are added to ctes in order of need."""
         self._parse(f)
-        scope = self._scope(f, execute, within, {} if ctes is None else ctes)
-        return f.template.render(scope)
+        scope, chain = self._scope(f, execute, within, {} if ctes is None else ctes), self._chain()
+        chain.append(f.name)
+        try:
+            return f.template.render(scope)
+        finally:
+            chain.pop()
+
+    def _chain(self) -> list[str]:
+        """The files that this thread is rendering, each within the one before."""
+        if not hasattr(self.rendering, "chain"):
+            self.rendering.chain = []
+        return self.rendering.chain
 
     def first_pass(self, f: File) -> None:
         with f.lock:
@@ -392,6 +406,8 @@ class Project:
                 found = {n for n in self.models() if s[4:] in self.setting(self.files[n], "tags")}
                 if not found and missing == "fail":
                     raise TemplateError(f"no model has the tag {s[4:]!r}")
+                if not found:
+                    warnings.warn(f"no model has the tag {s[4:]!r}", stacklevel=2)
                 chosen |= found
                 continue
             try:
@@ -399,6 +415,7 @@ class Project:
             except TemplateError:
                 if missing == "fail":
                     raise
+                warnings.warn(f"there is no model {s.strip('+')!r}; it is left out", stacklevel=2)
                 continue
             chosen |= {name}
             if s.startswith("+"):
@@ -544,11 +561,37 @@ class Project:
             self.first_pass(self.files[n])
         return {n for n in stale if not n.startswith("macro:")}
 
+    def remove(self, path: str) -> set[str]:
+        """Forget a file that is gone; the models and tests that referred to it."""
+        self.texts.pop(path, None)
+        base = os.path.basename(path).rsplit(".", 1)[0]
+        if path in self.schemas:
+            for name in [f.name for f in self.files.values() if f.kind == "schema_test" and f.path.startswith(path.rsplit("/", 1)[0] + "/")]:
+                del self.files[name]
+            del self.schemas[path]
+            self._schema_tests()
+            return set()
+        if self.seeds.get(base) == path:
+            del self.seeds[base]
+            return set()
+        if path.endswith(".md"):
+            self.docs.pop(base, None)
+        is_macro = path.split("/")[0] == "macros"
+        known = self.macros if is_macro else self.files
+        if base not in known or known[base].path != path:
+            return set()
+        start = f"macro:{base}" if is_macro else base
+        stale = closure([start], self.downs) - {start}
+        del known[base]
+        self.by_suffix = {k: n for k, n in self.by_suffix.items() if n != base or is_macro}
+        return {n for n in stale if not n.startswith("macro:")}
 
-def wait_until(condition: Callable[[], bool], seconds: float = 10, step: float = 0.05) -> bool:
-    end = time.time() + seconds
-    while time.time() < end:
-        if condition():
-            return True
-        time.sleep(step)
-    return False
+    def refresh(self, names: set[str]) -> list[Result]:
+        """The first pass over these files again; errors of those that fail, such as one that needs a file that is gone."""
+        out = []
+        for n in sorted(names):
+            try:
+                self.first_pass(self.files[n])
+            except TemplateError as e:
+                out.append(Result(n, "error", 0, str(e).split("\n")[0]))
+        return out

@@ -144,7 +144,7 @@ def data_test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(" UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, 'not_null' AS test, count(*) FILTER ({c} IS NULL) AS num_errors, count(*) FILTER ({c} IS NULL) = 0 AS passed FROM orders UNION ALL SELECT '{c}', 'unique', count({c}) - count(DISTINCT {c}), count({c}) = count(DISTINCT {c}) FROM orders"
+    f"SELECT '{c}' AS column_name, 'not_null' AS test, count(*) FILTER ({c} IS NULL) AS num_errors, count(*) FILTER ({c} IS NULL) = 0 AS passed FROM orders UNION ALL SELECT '{c}', 'unique', count(*), count(*) = 0 FROM (SELECT {c} FROM orders WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1) AS r"
     for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")))
 def testgen_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.profile(spark.read.parquet(f"{sf_dir}/orders.parquet"))
@@ -286,7 +286,7 @@ _RENDERED = {
     "tmpl_maths": ("SELECT CAST({{ 2 + 3 * 4 - 6 / 4 }} AS DOUBLE) AS a, {{ 2 ** 3 }} AS b, {{ -(1 + 2) * 3 }} AS c", "SELECT CAST(12.5 AS DOUBLE) AS a, 8 AS b, -9 AS c"),
     "tmpl_is_tests": ("SELECT '{{ 4 is even }}{{ 4 is divisibleby(3) }}{{ x is defined }}{{ none is none }}{{ [1] is sequence }}{{ {'a': 1} is mapping }}{{ 2.5 is float }}{{ 'a' in 'cat' }}' AS v", "SELECT 'TRUEFALSEFALSETRUETRUETRUETRUETRUE' AS v"),
     "tmpl_scoping": ("{% set x = 1 %}{% for y in [1, 2] %}{% set x = y + 10 %}{% endfor %}{% set z %}{{ x }}!{% endset %}SELECT {{ x }} AS x, '{{ z }}' AS z", "SELECT 1 AS x, '1!' AS z"),
-    "tmpl_bool_precedence": ("SELECT '{{ true or false and false }}' AS a, '{{ not false and (1 == 1) }}' AS b, '{{ 'y' if 3 > 2 else 'n' }}' AS c", "SELECT 'TRUE' AS a, 'TRUE' AS b, 'y' AS c"),
+    "tmpl_bool_precedence": ("SELECT '{{ false and false or true }}{{ true or false and false }}{{ true and false or false }}' AS a, '{{ not false and (1 == 1) }}' AS b, '{{ 'y' if 3 > 2 else 'n' }}' AS c", "SELECT 'TRUETRUEFALSE' AS a, 'TRUE' AS b, 'y' AS c"),
     "tmpl_maps_lists": ("{% set m = {'b': [1, 2], 'a': {'k': 'v'}} %}{% for k, v in m.items() %}SELECT '{{ k }}' AS k, '{{ v[1] if v is sequence and v is not mapping else v.k }}' AS v{% if not loop.last %} UNION ALL {% endif %}{% endfor %}", "SELECT 'a' AS k, 'v' AS v UNION ALL SELECT 'b', '2'"),
     "tmpl_var_env": ("SELECT '{{ var('colour', 'none') }}' AS a, '{{ var('absent', 'none') }}' AS b, '{{ env_var('LOOMERY_ABSENT', 'e') }}' AS c, '{{ project_name }}' AS d", "SELECT 'red' AS a, 'none' AS b, 'e' AS c, 'shop' AS d"),
 }
@@ -336,9 +336,9 @@ passed_through("pt_window_rank", "SELECT o_orderkey, ROW_NUMBER() OVER w AS rn,
                "SELECT o_orderkey, CAST(ROW_NUMBER() OVER w AS INTEGER) AS rn, CAST(RANK() OVER w AS INTEGER) AS rk, CAST(DENSE_RANK() OVER w AS INTEGER) AS dr, CAST(NTILE(4) OVER w AS INTEGER) AS nt FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey)")
 passed_through("pt_window_lag", "SELECT event_id, LAG(event_id) OVER w AS before, LEAD(event_id, 2) OVER w AS after, FIRST_VALUE(event_id) OVER w AS first FROM @events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 passed_through("pt_window_frame", "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n, MAX(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM @events")
-passed_through("pt_qualify", "SELECT user_id, event_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM @events) t WHERE rn = 1", "SELECT user_id, event_id FROM events QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1")
+passed_through("pt_ranked_rows", "SELECT user_id, event_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM @events) t WHERE rn = 1", "SELECT user_id, event_id FROM events QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1")
 passed_through("pt_time_bucket", "SELECT window.start AS start, event_type, COUNT(*) AS n FROM @events GROUP BY window(ts, '1 day'), event_type", "SELECT date_trunc('day', ts) AS start, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2")
-passed_through("pt_session", """WITH g AS (SELECT *, CASE WHEN ts > LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '12' HOUR THEN 1 ELSE 0 END AS new FROM @events),
+passed_through("pt_gaps", """WITH g AS (SELECT *, CASE WHEN ts > LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '12' HOUR THEN 1 ELSE 0 END AS new FROM @events),
 s AS (SELECT user_id, SUM(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g) SELECT user_id, CAST(k AS BIGINT) AS k, COUNT(*) AS n FROM s GROUP BY user_id, k""")
 passed_through("pt_topk", "SELECT o_orderkey, o_totalprice FROM @orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 passed_through("pt_offset", "SELECT o_orderkey FROM @orders ORDER BY o_orderkey LIMIT 5 OFFSET 7")
@@ -359,19 +359,81 @@ passed_through("pt_scalar_map", "SELECT event_id, m['v'] AS v, SIZE(MAP_KEYS(m))
 passed_through("pt_scalar_conditional", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS c, IF(o_totalprice > 100000, 'y', 'n') AS i, COALESCE(NULLIF(o_orderstatus, 'F'), '?') AS n, TRY_CAST(o_orderpriority AS INT) AS t FROM @orders")
 passed_through("pt_scalar_hash", "SELECT c_custkey, MD5(c_name) AS m, SHA2(c_name, 256) AS s, c_nationkey & 3 AS b FROM @customer", "SELECT c_custkey, MD5(c_name) AS m, SHA256(c_name) AS s, c_nationkey & 3 AS b FROM customer")
 passed_through("pt_pivot", "SELECT * FROM (SELECT l_linestatus, l_returnflag, l_linenumber FROM @lineitem) PIVOT (COUNT(l_linenumber) FOR l_returnflag IN ('A' AS a, 'R' AS r))", "SELECT l_linestatus, COUNT(*) FILTER (l_returnflag = 'A') AS a, COUNT(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1")
-passed_through("pt_sampling", "SELECT COUNT(*) <= (SELECT COUNT(*) FROM @orders) AS ok FROM @orders TABLESAMPLE (50 PERCENT) REPEATABLE (3)", "SELECT true AS ok")
+passed_through("pt_sampling_rows", "SELECT (SELECT COUNT(*) FROM @orders TABLESAMPLE (7 ROWS)) AS seven, (SELECT COUNT(*) FROM @orders TABLESAMPLE (100 PERCENT)) AS whole, (SELECT COUNT(*) FROM @orders TABLESAMPLE (0 PERCENT)) AS none", "SELECT 7 AS seven, (SELECT COUNT(*) FROM orders) AS whole, 0 AS none")
+passed_through("pt_sampling_repeats", """SELECT (SELECT SUM(o_orderkey) FROM @orders TABLESAMPLE (50 PERCENT) REPEATABLE (3)) = (SELECT SUM(o_orderkey) FROM @orders TABLESAMPLE (50 PERCENT) REPEATABLE (3)) AS same,
+  (SELECT COUNT(*) FROM @orders TABLESAMPLE (50 PERCENT) REPEATABLE (3)) BETWEEN (SELECT 0.4 * COUNT(*) FROM @orders) AND (SELECT 0.6 * COUNT(*) FROM @orders) AS about_half""", "SELECT true AS same, true AS about_half")
+passed_through("pt_window_shares", "SELECT o_orderkey, ROUND(PERCENT_RANK() OVER w, 6) AS p, ROUND(CUME_DIST() OVER w, 6) AS c, NTH_VALUE(o_orderkey, 2) OVER w AS second FROM @orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)")
+passed_through("pt_window_range", "SELECT p_partkey, COUNT(*) OVER (ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS n FROM @part")
+passed_through("pt_nulls_order", "SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY NULLIF(o_orderstatus, 'F') DESC NULLS LAST, o_orderkey) AS a, ROW_NUMBER() OVER (ORDER BY NULLIF(o_orderstatus, 'F') NULLS FIRST, o_orderkey) AS b FROM @orders",
+               "SELECT o_orderkey, CAST(ROW_NUMBER() OVER (ORDER BY NULLIF(o_orderstatus, 'F') DESC NULLS LAST, o_orderkey) AS INTEGER) AS a, CAST(ROW_NUMBER() OVER (ORDER BY NULLIF(o_orderstatus, 'F') NULLS FIRST, o_orderkey) AS INTEGER) AS b FROM orders")
+passed_through("pt_agg_quantiles", "SELECT l_returnflag, PERCENTILE(l_quantity, 0.25) AS q, MEDIAN(l_quantity) AS m FROM @lineitem GROUP BY l_returnflag", "SELECT l_returnflag, QUANTILE_CONT(l_quantity, 0.25) AS q, MEDIAN(l_quantity) AS m FROM lineitem GROUP BY l_returnflag")
+passed_through("pt_agg_approx", "SELECT ABS(APPROX_COUNT_DISTINCT(l_partkey) - COUNT(DISTINCT l_partkey)) <= 0.15 * COUNT(DISTINCT l_partkey) AS near, APPROX_COUNT_DISTINCT(l_returnflag) AS few FROM @lineitem", "SELECT true AS near, COUNT(DISTINCT l_returnflag) AS few FROM lineitem")
+passed_through("pt_agg_filter", "SELECT o_orderstatus, COUNT(*) FILTER (WHERE o_totalprice > 100000) AS n, MAX_BY(o_orderkey, STRUCT(o_totalprice, o_orderkey)) AS top, BOOL_OR(o_totalprice > 300000) AS b FROM @orders GROUP BY o_orderstatus",
+               "SELECT o_orderstatus, COUNT(*) FILTER (WHERE o_totalprice > 100000) AS n, arg_max(o_orderkey, ROW(o_totalprice, o_orderkey)) AS top, BOOL_OR(o_totalprice > 300000) AS b FROM orders GROUP BY o_orderstatus")
+passed_through("pt_join_natural", "SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM @nation) n NATURAL JOIN (SELECT r_name, r_regionkey AS k FROM @region) r")
+passed_through("pt_join_lateral", "SELECT c.c_custkey, o.o_orderkey FROM @customer c, LATERAL (SELECT o_orderkey FROM @orders WHERE o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) o")
+passed_through("pt_unpivot", "SELECT l_orderkey, l_linenumber, l_partkey, what, amount FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_tax FROM @lineitem) UNPIVOT (amount FOR what IN (l_quantity AS quantity, l_tax AS tax))",
+               "SELECT l_orderkey, l_linenumber, l_partkey, 'quantity' AS what, l_quantity AS amount FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'tax', l_tax FROM lineitem")
+passed_through("pt_window_session", "SELECT user_id, session_window.start AS start, COUNT(*) AS n FROM @events GROUP BY user_id, session_window(ts, '12 hours')",
+               """WITH g AS (SELECT *, CASE WHEN ts < LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '12' HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, ts, SUM(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g) SELECT user_id, MIN(ts) AS start, COUNT(*) AS n FROM s GROUP BY user_id, k""")
+passed_through("pt_window_sliding", "SELECT window.start AS start, COUNT(*) AS n FROM @events GROUP BY window(ts, '2 days', '1 day')",
+               "SELECT start, COUNT(*) AS n FROM (SELECT date_trunc('day', ts) AS start FROM events UNION ALL SELECT date_trunc('day', ts) - INTERVAL 1 DAY FROM events) t GROUP BY start")
+passed_through("pt_scalar_struct", "SELECT c_custkey, s.a AS a, TO_JSON(s) AS j, FROM_JSON(TO_JSON(s), 'a STRING, b INT').b AS b FROM (SELECT c_custkey, NAMED_STRUCT('a', c_mktsegment, 'b', c_nationkey) AS s FROM @customer) t",
+               "SELECT c_custkey, c_mktsegment AS a, '{\"a\":\"' || c_mktsegment || '\",\"b\":' || c_nationkey || '}' AS j, c_nationkey AS b FROM customer")
+passed_through("pt_scalar_lambda", "SELECT c_custkey, AGGREGATE(TRANSFORM(FILTER(a, x -> x > 3), x -> x * 2), 0, (t, x) -> t + x) AS s, SIZE(SLICE(a, 2, 2)) AS n FROM (SELECT c_custkey, ARRAY(c_nationkey, 5, 2) AS a FROM @customer) t",
+               "SELECT c_custkey, CAST((CASE WHEN c_nationkey > 3 THEN 2 * c_nationkey ELSE 0 END) + 10 AS INTEGER) AS s, CAST(2 AS INTEGER) AS n FROM customer")
+passed_through("pt_scalar_more", "SELECT p_partkey, TRIM(CONCAT('  ', p_name, ' ')) AS t, SPLIT(p_type, ' ')[0] AS w, FORMAT_STRING('%05d', p_size) AS f, ROUND(LN(p_size), 6) AS l, ROUND(EXP(p_size / 100), 6) AS e, POW(p_size, 2) AS p, UNIX_TIMESTAMP(TIMESTAMP '2024-01-02 03:04:05') AS u, TO_DATE('2024-05-06', 'yyyy-MM-dd') AS d FROM @part",
+               "SELECT p_partkey, TRIM('  ' || p_name || ' ') AS t, string_split(p_type, ' ')[1] AS w, printf('%05d', p_size) AS f, ROUND(LN(p_size), 6) AS l, ROUND(EXP(p_size / 100), 6) AS e, POW(p_size, 2) AS p, CAST(epoch(TIMESTAMP '2024-01-02 03:04:05') AS BIGINT) AS u, DATE '2024-05-06' AS d FROM part")
 passed_through("pt_values", "SELECT k, v FROM VALUES (1, 'a'), (2, 'b') AS t(k, v)", "SELECT k, v FROM (VALUES (1, 'a'), (2, 'b')) AS t(k, v)")
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey <= 20")
+def dml_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = project(spark, sf_dir, "dml_insert", {"models/m.sql": "SELECT n_nationkey, n_name FROM @nation WHERE n_nationkey < 5"})
+    p.run()
+    name = str(p.relation(p.files["m"]))
+    spark.sql(f"INSERT INTO {name} SELECT n_nationkey, n_name FROM parquet.`{sf_dir}/nation.parquet` WHERE n_nationkey BETWEEN 5 AND 20")
+    return spark.table(name)
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey > 20")
 def dml_insert_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = project(spark, sf_dir, "dml_insert_overwrite", {"models/m.sql": "SELECT n_nationkey, n_name FROM @nation WHERE n_nationkey < 5"})
     p.run()
     name = str(p.relation(p.files["m"]))
-    spark.sql(f"INSERT INTO {name} SELECT n_nationkey, n_name FROM parquet.`{sf_dir}/nation.parquet` WHERE n_nationkey BETWEEN 5 AND 20")
+    spark.sql(f"INSERT OVERWRITE {name} SELECT n_nationkey, n_name FROM parquet.`{sf_dir}/nation.parquet` WHERE n_nationkey > 20")
     return spark.table(name)
 
 
+def _increments(spark: SparkSession, sf_dir: str, name: str, first: str, then: str, key: str = "") -> DataFrame:
+    model = "{{ config(materialized='incremental', append=true" + key + ") }} {% if is_incremental() %}" + then + "{% else %}" + first + "{% endif %}"
+    p = project(spark, sf_dir, name, {"models/m.sql": model})
+    p._prepare({p.target_of(p.files["m"]).database})
+    spark.sql(f"DROP TABLE IF EXISTS {p.relation(p.files['m'])}")
+    p.run()
+    project(spark, sf_dir, name, {"models/m.sql": model}).run()
+    return p.table("m")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 5 UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey >= 3")
+def mat_incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _increments(spark, sf_dir, "mat_incremental_append", "SELECT n_nationkey, n_name FROM @nation WHERE n_nationkey < 5", "SELECT n_nationkey, n_name FROM @nation WHERE n_nationkey >= 3")
+
+
+@query("SELECT NULLIF(n_nationkey, 3) AS k, CASE WHEN n_nationkey IN (3, 4) THEN 'new' ELSE n_name END AS v FROM nation")
+def mat_incremental_nullkey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = "SELECT NULLIF(n_nationkey, 3) AS k, n_name AS v FROM @nation"
+    return _increments(spark, sf_dir, "mat_incremental_nullkey", first, "SELECT NULLIF(n_nationkey, 3) AS k, 'new' AS v FROM @nation WHERE n_nationkey IN (3, 4)", ", unique_key='k'")
+
+
+@query("SELECT k, v FROM (VALUES (1, 'two' || chr(10) || 'lines'), (2, 'a \"quoted\" word'), (3, NULL), (4, 'back\\slash, comma')) AS t(k, v)")
+def seed_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = project(spark, sf_dir, "seed_multiline", {"data/s.csv": 'k,v\n1,"two\nlines"\n2,"a ""quoted"" word"\n\n3,\n4,"back\\slash, comma"\n'}, "seeds: {shop: {s: {column_types: {k: INTEGER, v: STRING}}}}")
+    p.seed()
+    return spark.table(str(p.seed_relation("s")))
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_into_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming.batches import stream_table

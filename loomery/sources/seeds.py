@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,19 @@ def header(text: str) -> list[str]:
     return [c.strip() for c in row]
 
 
+def records(text: str) -> Iterator[str]:
+    """The text's records: lines, or several where quotes hold a line's end."""
+    record = ""
+    for line in io.StringIO(text, newline=""):
+        record += line
+        if record.count('"') % 2 == 0:
+            if record.strip():
+                yield record.rstrip("\r\n")
+            record = ""
+    if record.strip():
+        yield record.rstrip("\r\n")
+
+
 def _tidy(df: DataFrame) -> DataFrame:
     """Whole numbers are 64 bits wide."""
     return df.select(*[F.col(f"`{n}`").cast("bigint").alias(n) if t in ("int", "smallint", "tinyint") else F.col(f"`{n}`") for n, t in df.dtypes])
@@ -30,7 +44,7 @@ def read_seed(spark: SparkSession, text: str, column_types: dict[str, str] | Non
     Given a path, Spark's readers load it; a text that is only in memory goes through the driver, as seeds are small.
     """
     names = header(text)
-    options = {"header": True, "mode": "FAILFAST", "enforceSchema": False}
+    options = {"header": True, "mode": "FAILFAST", "enforceSchema": False, "escape": '"'}
     if column_types:
         kinds = {k.lower(): spark_type(t) for k, t in column_types.items()}
         options["schema"] = ", ".join(f"`{n}` {kinds.get(n.lower(), 'string')}" for n in names)
@@ -42,7 +56,9 @@ def read_seed(spark: SparkSession, text: str, column_types: dict[str, str] | Non
         for i, row in enumerate(csv.reader(io.StringIO(text))):
             if row and len(row) != width:
                 raise TemplateError(f"row {i + 1} has {len(row)} fields, not {width}")
-        source = spark.createDataFrame([(line,) for line in text.splitlines() if line.strip()], "value string").rdd.map(lambda r: r[0])
+        source = spark.sparkContext.parallelize(list(records(text)), 1)
+    else:
+        options["multiLine"] = True
     schema = options.pop("schema", None)
     reader = spark.read.options(**{k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()})
     return _tidy((reader.schema(schema) if schema else reader).csv(source))

@@ -34,7 +34,7 @@ class Watcher:
         self.seen = snapshot(project.folder)
 
     def changes(self) -> list[str]:
-        """Paths changed or new since the last call. Changes closer than the debounce count together."""
+        """Paths changed, new or gone since the last call. Changes closer than the debounce count together."""
         now = snapshot(self.project.folder)
         if now == self.seen:
             return []
@@ -44,7 +44,7 @@ class Watcher:
             if later == now:
                 break
             now = later
-        changed = sorted(p for p in now if self.seen.get(p) != now[p])
+        changed = sorted(p for p in now.keys() | self.seen.keys() if self.seen.get(p) != now.get(p))
         self.seen = now
         return changed
 
@@ -54,13 +54,17 @@ class Watcher:
             return [], []
         texts = read_folder(self.project.folder)
         stale: set[str] = set()
+        for path in [p for p in changed if p not in texts and p in self.project.texts]:
+            stale |= self.project.remove(path)
         for path in changed:
             if path in texts:
                 stale |= self.project.replace(path, texts[path])
+        broken = self.project.refresh(stale)
+        stale -= {r.name for r in broken}
         models = sorted(n for n in stale if n in self.project.files and self.project.files[n].kind == "model")
         ran = self.project.run(*models) if models and self.run else []
         results = self.project.test(*models) if models and self.test else []
-        return ran, results
+        return ran, broken + results
 
     def loop(self, until: Callable[[], bool], step: float = 0.2) -> None:
         while not until():

@@ -125,3 +125,61 @@ def test_watch(spark, tmp_path):
     ran, results = w.poll()
     assert {"by_status", "top"} <= set(ran)
     assert any(r.name == "some" for r in results)
+
+
+def test_deleted_files_while_watching(spark, tmp_path):
+    for path, text in {"dbt_project.yml": "name: gone\nprofile: gone\n", "profiles.yml": "gone:\n  target: dev\n  outputs:\n    dev: {project: p, dataset: gone_models, threads: 2}\n",
+                       "models/a.sql": "SELECT 1 AS k", "models/b.sql": "SELECT * FROM {{ ref('a') }}", "models/c.sql": "SELECT 2 AS k"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    p = Project.load(spark, str(tmp_path))
+    w = Watcher(p)
+    p.run()
+    (tmp_path / "models/a.sql").unlink()
+    ran, results = w.poll()
+    assert ran == [] and [(r.name, r.status) for r in results] == [("b", "error")] and "'a'" in results[0].message
+    assert "a" not in p.files and w.poll() == ([], [])
+    (tmp_path / "models/b.sql").write_text("SELECT * FROM {{ ref('c') }}")
+    assert w.poll()[0] == ["b"] and p.models() == ["b", "c"]
+
+
+def test_circle_of_inlined_models(spark):
+    e = "{{ config(materialized='ephemeral') }}"
+    p = Project(spark, {"dbt_project.yml": "name: x\nprofile: x\n", "profiles.yml": "x:\n  target: dev\n  outputs:\n    dev: {project: p, dataset: d, threads: 1}\n",
+                        "models/a.sql": e + "SELECT * FROM {{ ref('b') }}", "models/b.sql": e + "SELECT * FROM {{ ref('c') }}", "models/c.sql": e + "SELECT * FROM {{ ref('a') }}"})
+    with pytest.raises(TemplateError, match="circle: .*a.* -> "):
+        p.compile()
+
+
+def test_unknown_selector_warns(spark):
+    p = Project(spark, {"dbt_project.yml": "name: x\nprofile: x\n", "profiles.yml": "x:\n  target: dev\n  outputs:\n    dev: {project: p, dataset: d, threads: 1}\n", "models/a.sql": "SELECT 1 AS k"})
+    with pytest.warns(UserWarning, match="no model 'nothing'"):
+        assert list(p.select("a", "nothing", missing="skip").needs) == ["a"]
+
+
+def test_statements_with_blocks():
+    from loomery.operators.materialize import split_statements
+
+    sql = "SELECT CASE WHEN a THEN ';' END AS x; BEGIN DECLARE v INT; IF v > 0 THEN SELECT 1; END IF; BEGIN SELECT CASE WHEN 1 THEN 2 END; END; END; SELECT 3 -- ; END"
+    assert split_statements(sql) == [sql.split("; BEGIN DECLARE")[0], "BEGIN DECLARE" + sql.split("BEGIN DECLARE")[1].split("; SELECT 3")[0], "SELECT 3 -- ; END"]
+
+
+def test_increments(spark):
+    """Rows are appended without reading the old ones; keys are unique, null among them; other columns are an error."""
+    from loomery.operators.materialize import _location, append_or_merge, write_table
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS increments")
+    name, frame = "increments.t", lambda rows: spark.createDataFrame(rows, "k int, v string")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    write_table(spark, name, frame([(1, "a"), (None, "b")]))
+    place = _location(spark, name)
+    append_or_merge(spark, name, frame([(1, "c")]), [])
+    append_or_merge(spark, name, frame([(2, "d")]).select("v", "k"), ["k"])  # a new key: the folder stays
+    assert _location(spark, name) == place
+    append_or_merge(spark, name, frame([(None, "e"), (1, "f")]), ["k"])
+    assert _location(spark, name) != place
+    assert sorted(map(str, spark.table(name).collect())) == sorted(map(str, frame([(None, "e"), (1, "f"), (2, "d")]).collect()))
+    with pytest.raises(TemplateError, match="two new rows"):
+        append_or_merge(spark, name, frame([(7, "x"), (7, "y")]), ["k"])
+    with pytest.raises(TemplateError, match="columns"):
+        append_or_merge(spark, name, frame([(7, "x")]).withColumnRenamed("v", "w"), ["k"])
