@@ -44,12 +44,13 @@ def interleave(spark: SparkSession, docs: DataFrame, shards: int = 8, seed: int
     Returns doc_id, source, size (UTF-8 bytes plus 1), text_crc32, law, shard, slot (gapless from 0 in
     the shard) and grown_shard (null: under this law a further shard moves rows of all). A null text
     counts as no bytes (crc32 0); a null source is the same stratum as an empty one; a null doc_id is
-    dealt like any other. Ties of the random order go by doc_id, size and crc32. Rows alike in all of
+    dealt like any other: the random order is by id and text, so rows of one id are spread. Ties of the random order go by doc_id, size and crc32. Rows alike in all of
     these are interchangeable. An empty table gives an empty result. Other columns are left out.
     """
     scratch = scratch or Scratch(spark, "sharding")
     d = columns(docs, "doc_id", "text", "source")
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    none = lambda c: F.coalesce(c, F.lit(""))
+    h = F.md5(F.concat(F.lit(f"{seed}:"), none(F.col("doc_id").cast("string")), F.lit(":"), F.md5(none(F.col("text")).cast("binary"))).cast("binary"))
     base = scratch.save(d.select(
         "doc_id", F.coalesce("source", F.lit("")).alias("source"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
@@ -87,7 +88,7 @@ for _i in range(256):
 ORACLE_SQL = f"""
 WITH base AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(strlen(text), 0) + 1 AS size, coalesce(text, '') AS text,
-         md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+         md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 hexed AS (SELECT *, hex(encode(text)) AS x FROM base),
 crcs AS (
   SELECT doc_id, source, size, h,

@@ -42,6 +42,15 @@ def test_shards_match_the_mixture(spark):
     assert all(abs(each[s, k] - n / 8) <= 1 for s, n in whole.items() for k in range(8))
 
 
+def test_shards_of_rows_with_one_id(spark):
+    """Equal and null ids don't share a place in the random order, so no window task has them all."""
+    rows = [(None if i % 2 else 5, f"text {i}", "en", "web", 6) for i in range(4000)]
+    out = sharding.interleave(spark, docs(spark, rows, False), bucket_rows=100).collect()
+    _law(rows, out)
+    each = Counter((r["doc_id"], r["shard"]) for r in out)
+    assert all(180 < n < 320 for n in each.values()) and len(each) == 16
+
+
 def test_no_rows(spark):
     assert sharding.interleave(spark, docs(spark, [])).count() == 0
     empty = spark.createDataFrame([], "vec_id long, code long")
