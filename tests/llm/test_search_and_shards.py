@@ -87,6 +87,43 @@ def test_sign_codes_of_odd_vectors(spark):
     assert {r[0]: r[1] for r in df.select("vec_id", hamming.sign_code("embedding")).collect()} == {1: 5, 2: 0, 3: None}
 
 
+def test_codes_that_share_segments(spark):
+    """A third of all rows has one code, the others agree in all but their upper bits; names of other columns clash."""
+    rng = np.random.default_rng(4)
+    codes = {i: 77 if i % 3 == 0 else 77 ^ (int(rng.integers(0, 2**20)) << 40) for i in range(1500)}
+    extra = "segment string, prefix string, part string, bound string, n string, far string, distance string, flip string"
+    rows = spark.createDataFrame([(*r, *["x"] * 8) for r in codes.items()], "vec_id long, code long, " + extra)
+    out = hamming.top_k(spark, rows, rows.where("vec_id % 20 = 0"), k=5, block_rows=100, block_queries=9).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["distance"]))
+    assert got == {q: _nearest(codes, q, 5) for q in codes if q % 20 == 0}
+
+
+@pytest.mark.parametrize(("low", "wide"), [(0, [16] * 4), (3, [13, 13, 13, 13, 12]), (5, [32, 32])])
+def test_each_pair_is_found_once(low, wide):
+    """Over all shards of all segments, all radii find each pair of a query and a row once, by probes or by rows."""
+    rng = np.random.default_rng(6)
+    codes, queries = rng.integers(0, 2**64, 300, dtype=np.uint64), rng.integers(0, 2**64, 3, dtype=np.uint64)
+    codes[:150] = queries[0] ^ (np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64))
+    seen = Counter()
+    for j in range(len(wide)):
+        prefix = (codes >> np.uint64(sum(wide[:j]))) & np.uint64((1 << low) - 1)
+        for p in np.unique(prefix):
+            at = np.flatnonzero(prefix == p)
+            shard = hamming.Shard(at, codes[at], j, int(p), low, wide)
+            q, i, d = shard.search(queries, np.full(3, 64), 0, max(wide), 1000)
+            assert (d == np.bitwise_count(queries[q] ^ codes[i])).all()
+            seen.update(zip(q.tolist(), i.tolist(), strict=True))
+    assert len(seen) == 900 and set(seen.values()) == {1}
+
+
+def test_vectors_longer_than_the_code(spark):
+    df = spark.createDataFrame([(1, [1.0] * 65)], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="more than 64 components"):
+        df.select(hamming.sign_code("embedding")).collect()
+
+
 def _boilerplate(pages, percent, least):
     """By host: lines on over percent % of its pages."""
     hosts = {}
