@@ -16,13 +16,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import Scratch, blocks, columns, map_texts, ship
+from .common import Scratch, blocks, columns, map_texts, mix64, ship
 from .neardup import shingle_set
 
 #: Labelled rows that a model is fitted on at most, those with the smallest hash of doc_id.
 TRAIN_ROWS = 20_000
+#: Keys of a training text by which near copies are told, and least hashes in each.
+BANDS, BAND_ROWS = 8, 4
 WINDOW = 8
 #: A text without hits scores no more than this, however few texts there were to learn from.
 NO_HITS_MOST = 0.25
@@ -36,6 +38,9 @@ _REPORT = re.compile(
 EDGES = [0.0, 0.25, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 32.0]
 
 
+_MULTIPLIERS = np.random.default_rng(20240717).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+
+
 def edits_for(length: int) -> int:
     """Terms of 3 or 4 letters are found as they are only: one edit leads from them to too many clean words."""
     return 0 if length < 5 else 1 if length < 9 else 2
@@ -203,16 +208,29 @@ def monotone(good: list[float], bad: list[float]) -> list[float]:
     return [b / (g + b) for g, b, n in blocks for _ in range(int(n))]
 
 
-def one_of_near_copies(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of texts (TRAIN_ROWS at most) with one least shingle and label, one of those that share half of their shingles."""
-    kept: list[tuple[int, np.ndarray]] = []
-    rows = []
-    for text, toxic in pdf.sort_values(["text", "toxic"])[["text", "toxic"]].itertuples(index=False):
-        s = shingle_set(text, 3)
-        if not any(t == toxic and 2 * (both := len(np.intersect1d(s, x, assume_unique=True))) > len(s) + len(x) - both or not len(s) + len(x) for t, x in kept):
-            kept.append((toxic, s))
-            rows.append((text, toxic))
-    return pd.DataFrame(rows, columns=["text", "toxic"])
+def band_keys(texts: list[str | None]) -> list[list[int]]:
+    """BANDS keys of each text, each of BAND_ROWS least shingle hashes; near copies nearly always share one."""
+    keys = np.zeros((len(texts), BANDS), np.uint64)
+    for i, t in enumerate(texts):
+        if len(s := shingle_set(t, 3)):
+            with np.errstate(over="ignore"):
+                least = np.array([(s * m).min() for m in _MULTIPLIERS], np.uint64).reshape(BANDS, BAND_ROWS)
+                for j in range(BAND_ROWS):
+                    keys[i] = mix64(keys[i] + least[:, j])
+    return keys.view(np.int64).tolist()
+
+
+def one_of_near_copies(text: DataFrame) -> DataFrame:
+    """Rows (text, toxic) of distinct texts without those that share a key with a row of the same label and a lesser hash.
+
+    Texts that share 0.9 of their shingles do so in 99.9 % of cases, 0.8 in 98 %, half in 40 %, a fifth in 1 %. Keys are counted
+    by partial aggregates and no group of copies meets in one task.
+    """
+    name = [F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("i")]
+    keys = map_texts(text.select("text", "toxic", F.struct(*name).alias("at")), ["toxic", "at"], lambda: lambda texts: [band_keys(texts)], StructType([StructField("keys", ArrayType(LongType()))]))
+    first = keys.select("toxic", "at", F.posexplode("keys").alias("band", "key")).groupBy("toxic", "band", "key").agg(F.min("at").alias("at"))
+    alone = first.groupBy("toxic", "at").count().where(F.col("count") == BANDS).select("toxic", F.col("at.h").alias("h"), F.col("at.i").alias("i"))
+    return text.select("text", "toxic", *name).join(alone, ["toxic", "h", "i"], "left_semi").select("text", "toxic")
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> Model:
@@ -231,11 +249,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratc
     some = some.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     text = columns(docs, "doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id")
     text = scratch.save(text.groupBy(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("i")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")))
-    # Near copies mostly have the same least hash of three words; of those that share half their shingles, too, one counts, else their rare words would look like terms.
-    w = F.split(F.lower("text"), r"\s+")
-    three = F.arrays_zip(w, F.slice(w, F.lit(2), F.size(w)), F.slice(w, F.lit(3), F.size(w)))
-    text = text.withColumn("k", F.array_min(F.transform(three, lambda x: F.xxhash64(x))))
-    text = scratch.save(text.groupBy("k").applyInPandas(one_of_near_copies, "text string, toxic int"))
+    # Of near copies one counts, else their rare words would look like terms.
+    text = scratch.save(one_of_near_copies(text.select("text", "toxic")))
     n = {r[0]: r[1] for r in text.groupBy("toxic").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     words = text.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")).where("length(w) between 3 and 40")

@@ -58,13 +58,22 @@ def test_toxicity_of_held_out_rows(spark):
     assert hit[1, 1] >= 0.8 * (hit[1, 1] + hit[1, 0]) and hit[0, 1] <= 0.05 * (hit[0, 1] + hit[0, 0])
 
 
-def test_near_copies_teach_once():
-    import pandas as pd
-
+def test_near_copies_teach_once(spark):
     base = " ".join(f"w{i}" for i in range(40))
-    rows = [(base, 1), (base + " more", 1), (base + " other", 0), ("w0 w1 w2 " + " ".join(f"x{i}" for i in range(40)), 1)]
-    out = toxicity.one_of_near_copies(pd.DataFrame(rows, columns=["text", "toxic"]))
-    assert sorted(out["text"]) == sorted(r[0] for r in rows if r != rows[1])  # sharing a shingle isn't enough
+    rows = [(base, 1), (base + " more", 1), (base + " other", 0), ("w0 w1 w2 " + " ".join(f"x{i}" for i in range(40)), 1), ("", 1), ("one", 1)]
+    out = [tuple(r) for r in toxicity.one_of_near_copies(spark.createDataFrame(rows, "text string, toxic int")).collect()]
+    assert sorted(out) in [sorted(r for r in rows if r != x) for x in rows[:2]]  # sharing a shingle isn't enough
+
+
+def test_many_near_copies_teach_once(spark):
+    """One of a thousand copies with a word changed each stays; texts that share a passage of a quarter stay all."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(200)]
+    near = [" ".join([*base[:j], f"n{i}", *base[j + 1 :]]) for i, j in enumerate(rng.integers(0, 200, 1000))]
+    apart = [" ".join(base[:50] + [f"a{i}_{j}" for j in range(150)]) for i in range(20)]
+    out = toxicity.one_of_near_copies(spark.createDataFrame([(t, 1) for t in near + apart], "text string, toxic int"))
+    kept = {r["text"] for r in out.collect()}
+    assert len(kept & set(near)) == 1 and len(kept & set(apart)) >= 18
 
 
 def test_scores_of_texts_by_brute_force():
