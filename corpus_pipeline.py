@@ -1,7 +1,8 @@
 """From documents to packed sequences: toxicity, language, boilerplate lines, near-duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
-the columns of documents. run() writes each stage's rows to the shared folder and reads them again.
+the columns of documents. run() writes each stage's rows to the shared folder and reads them again; a stage's own
+tables go then.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomery.llm import langid, lines, neardup, packing, toxicity
-from loomery.llm.common import Scratch
+from loomery.llm.common import Scratch, passing
 from loomery.llm.queries import vocabulary_path
 
 #: Lines on more than this percentage of a source's distinct texts go, for sources with so many texts.
@@ -61,7 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir))
+        with passing():
+            docs = scratch.save(stage(spark, docs, sf_dir))
         if before is not None:
             scratch.drop(before)
         before = docs

@@ -8,6 +8,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,7 @@ from pyspark.sql.types import StructType
 BROADCAST_ROWS = 200_000
 
 _shipped: set[str] = set()
+_opened: ContextVar[list[Scratch] | None] = ContextVar("_opened", default=None)
 
 
 def ship(spark: SparkSession) -> None:
@@ -63,6 +66,8 @@ class Scratch:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self.close)
         self.at: dict[int, str] = {}
+        if (found := _opened.get()) is not None:
+            found.append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n}"
@@ -78,6 +83,13 @@ class Scratch:
         for t in tables:
             self._delete(t._scratch)
 
+    def drop_from(self, first: int, *keep: DataFrame) -> None:
+        """Delete all tables saved since n was `first`, but for these: nothing reads the others any more."""
+        kept = {t._scratch for t in keep}
+        for i in range(first, self.n):
+            if (path := f"{self.root}/{i}") not in kept:
+                self._delete(path)
+
     def close(self) -> None:
         """Delete the run's folder, if the session still runs."""
         atexit.unregister(self.close)
@@ -89,6 +101,18 @@ class Scratch:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def passing() -> Iterator[None]:
+    """What is made inside is also read inside, to its end: the tables of runs opened here go at the end."""
+    token = _opened.set([])
+    try:
+        yield
+    finally:
+        for s in _opened.get():
+            s.close()
+        _opened.reset(token)
+
+
 def bounded(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows, which are counted; else df, for a shuffled join."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df

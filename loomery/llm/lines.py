@@ -75,9 +75,12 @@ def drop_boilerplate(spark: SparkSession, pages: DataFrame, host: str, lines: st
         found = each.where("long").select("_page", "k").distinct()
         often = scratch.save(found.groupBy("k").agg(F.count("*").alias("n")).where(f"n >= {long_texts}").select("k"))
         on = scratch.save(found.join(bounded(often), "k").groupBy("_page").agg(F.collect_list("k").alias("_passages")))
+        scratch.drop(often)
         out = out.withColumn("_page", F.col(f"_row.`{group}`")).join(bounded(on, limit=20_000), "_page", "left")
     else:
         out = out.withColumn("_passages", F.lit(None).cast(out.schema["_bad"].dataType))
+    if group:
+        scratch.drop(each)
     drop = lambda s: ~blank(s) & (F.coalesce(F.array_contains(F.col("_bad"), _key(s)), F.lit(False)) | F.coalesce(F.array_contains(F.col("_passages"), _key(s)), F.lit(False)))
     clean = F.col("_bad").isNull() & F.col("_passages").isNull()
     kept = F.when(clean, F.col("_lines")).otherwise(F.filter("_lines", lambda s: ~drop(s)))
@@ -129,7 +132,9 @@ def documents_without_boilerplate(spark: SparkSession, docs: DataFrame, percent:
     """
     scratch, names = Scratch(spark, "lines"), docs.columns
     d = NearDup(spark, words, similar).tagged(docs, scratch, rows=True)
-    d = scratch.save(d.select("row", F.coalesce("lead.rid", "rid").alias("page"), F.coalesce("row.source", F.lit("")).alias("host"), F.split("row.text", "\n").alias("lines")))
+    d = scratch.save(d.select("row", F.coalesce("lead.rid", "rid").alias("page")))
+    scratch.drop_from(0, d)
+    d = d.select("row", "page", F.coalesce("row.source", F.lit("")).alias("host"), F.split("row.text", "\n").alias("lines"))
     out = drop_boilerplate(spark, d, "host", "lines", percent, min_pages, group="page", long_words=LONG_WORDS, scratch=scratch)
     text = F.when(F.col("row.text").isNotNull(), F.when(F.col("n_dropped") > 0, F.array_join("lines", "\n")).otherwise(F.col("row.text")))
     new = {"text": text, "n_chars": F.length(text).cast(dict(docs.dtypes).get("n_chars", "long"))}

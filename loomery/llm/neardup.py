@@ -87,8 +87,9 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
     """(v, c) for the vertices of edges (a, b): c is the least vertex reachable.
 
     Labels are hooked onto the least neighbouring label, at the vertex and at its label, and shortened by
-    jumping, until nothing changes; each round is written, so lineage stays short.
+    jumping, until nothing changes; each round is written, so lineage stays short. Of its tables the last one stays.
     """
+    began = scratch.n
     both = scratch.save(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("v", "u"))
     labels = scratch.save(both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("c")))
     while True:
@@ -103,6 +104,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
         scratch.drop(labels)
         labels = nxt
         if not changed:
+            scratch.drop_from(began, labels)
             return labels.select("v", "c")
 
 
@@ -156,9 +158,9 @@ class NearDup:
         """For each row: doc_id, n, v, rid (a number of its own), lead (the struct that is least in its component) and, if asked for, the row itself.
 
         lead has no_id, id and rid: the least doc_id and one row that has it, or without ids one of the rows. It is null
-        for the empty set.
+        for the empty set. Of the tables saved on the way, only the two that the result reads stay.
         """
-        spark, percent = self.spark, self.percent
+        spark, percent, began = self.spark, self.percent, scratch.n
         whole_row = [F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")] if rows else []
         keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), *whole_row)
         d = scratch.save(self.sketch(keyed).withColumn("rid", F.monotonically_increasing_id()))
@@ -177,6 +179,7 @@ class NearDup:
         wanted = scratch.save(wanted)
         sets = scratch.save(self.sets(docs, wanted, wanted.count()))
         links = scratch.save(self.confirm(pairs, sets))
+        scratch.drop(wanted, pairs)
         if hot.count():
             links = self._hot(hot, sets, links, scratch)
         scratch.drop(sets)
@@ -185,6 +188,7 @@ class NearDup:
         grouped = reps.select("v", "lead").join(found.union(many.select("v", F.col("v").alias("c")).join(found.select("v"), "v", "left_anti")), "v")
         least = grouped.groupBy("c").agg(F.min("lead").alias("lead"))
         to = scratch.save(grouped.select("v", "c").join(least, "c").select("v", "lead"))
+        scratch.drop_from(began, d, to)
         alone = F.when(F.col("v").isNotNull(), F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "rid", "h"))
         out = d.join(bounded(to), "v", "left").withColumn("lead", F.coalesce("lead", alone))
         return out.select("doc_id", "n", "v", "rid", F.struct("lead.no_id", "lead.id", "lead.rid").alias("lead"), *(["row"] if rows else []))
@@ -204,7 +208,7 @@ class NearDup:
 
     def _hot(self, hot: DataFrame, sets: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
         """links, and all links among the vertices of large buckets, up to what lies in one component already."""
-        percent = self.percent
+        percent, began = self.percent, scratch.n
 
         def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -218,6 +222,7 @@ class NearDup:
         place = F.col("n") - F.count("*").over(Window.partitionBy("v")) + F.row_number().over(Window.partitionBy("v").orderBy("f", "t")) - 1
         prefix = known.withColumn("pos", place).where(f"(n - pos) * 100 >= n * {percent}")
         prefix = scratch.save(prefix.select("t", "v", "n", "pos"))
+        scratch.drop(mine)
         leads = prefix.groupBy("t").agg(F.min(F.struct("pos", "v", "n")).alias("x"), F.count("*").alias("f")).where("f > 1")
         leads = scratch.save(leads.select("t", F.col("x.v").alias("b"), F.col("x.n").alias("nb"), F.col("x.pos").alias("pb")))
         fits = f"v <> b and least(n - pos, nb - pb) * {100 + percent} >= (n + nb) * {percent}"
@@ -233,7 +238,9 @@ class NearDup:
         rest = scratch.save(tagged.join(mixed, "t"))
         theirs = rest.select("t", F.col("v").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("c").alias("cb"))
         more = rest.where("c <> lead").join(theirs, "t").where(f"c <> cb and {fits}").select(*ordered).distinct()
-        return scratch.save(links.union(self.confirm(more, sets)))
+        links = scratch.save(links.union(self.confirm(more, sets)))
+        scratch.drop_from(began, links)
+        return links
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:

@@ -1,6 +1,8 @@
 """The pipeline of five stages against plain versions of its stages."""
 
+import random
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -58,6 +60,36 @@ def test_stages_keep_columns(spark, tmp_path):
         assert got == Counter([1, 6, 7, 8, None, 9, 11] if rows else [])
 
 
+def _left(spark):
+    """Bytes of each table in the shared folder."""
+    out = Counter()
+    for f in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).glob("*/*/*.parquet"):
+        out[f.parent] += f.stat().st_size
+    return out
+
+
+def test_stages_leave_the_rows_once(spark, tmp_path):
+    """What a stage leaves for its result to read holds each text once, and no table of the way there."""
+    rng = random.Random(1)
+    texts = ["\n".join(" ".join(rng.choice(words) for _ in range(20)) for _ in range(40)) for words in [[f"{rng.getrandbits(40):x}" for _ in range(900)]] for _ in range(60)]
+    texts += [t + " again" for t in texts[:20]] + texts[:5]
+    d = docs(spark, [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)])
+    d.write.option("compression", "zstd").parquet(f"{tmp_path}/d")
+    size = sum(f.stat().st_size for f in Path(f"{tmp_path}/d").glob("*.parquet"))
+    for stage, rows in ((cp.drop_boilerplate_lines, 85), (cp.drop_near_duplicates, 60)):
+        before = _left(spark)
+        out = stage(spark, d, str(tmp_path))
+        new = _left(spark) - before
+        assert out.count() == rows
+        assert sum(new.values()) < 1.5 * size and sum(x > size / 2 for x in new.values()) == 1 and len(new) <= 5, (stage, new, size)
+
+
+def test_run_leaves_its_result_only(spark):
+    before = _left(spark)
+    out = cp.run(spark, SMALL)
+    assert len(_left(spark) - before) == 1 and out.count()
+
+
 def test_few_rows_stay_clean(spark):
     """Languages are learned from rows with one; a text without letters has none."""
     rows = [(i, "the cat sat on the mat" if i % 2 else "der Hund und die Katze", "en" if i % 2 else "de", "web", 1) for i in range(40)]
