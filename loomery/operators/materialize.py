@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..template.values import TemplateError
+from .replan import mended
 
 _TYPES = {
     "INTEGER": "bigint", "INT64": "bigint", "FLOAT": "double", "FLOAT64": "double", "NUMERIC": "decimal(38,9)", "BOOLEAN": "boolean", "BOOL": "boolean",
@@ -55,7 +56,7 @@ def query(spark: SparkSession, sql: str, prelude: str = "") -> DataFrame:
     statements = split_statements(sql)
     for s in statements[:-1]:
         spark.sql(s)
-    return spark.sql(statements[-1])
+    return mended(spark.sql(statements[-1]))
 
 
 #: The property with the folder that a table had before.

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import generators
 from ..functions.builtins import ADAPTER_NOTHING, FUNCTIONS
 from ..operators import checks, materialize
+from ..operators.replan import mended
 from ..sources import config as cfg
 from ..sources.properties import SchemaFile, Test
 from ..sources.seeds import header, read_seed
@@ -168,7 +169,7 @@ class Project:
     # -- rendering
 
     def _run_rows(self, sql: str) -> list[tuple]:
-        return [tuple(r) for r in self.spark.sql(sql).collect()]
+        return [tuple(r) for r in mended(self.spark.sql(sql)).collect()]
 
     def columns_of(self, relation: str) -> list[tuple[str, str]]:
         """Names and types, from analysis alone: no job runs."""
@@ -494,7 +495,7 @@ class Project:
         return graph.execute(lambda n: self.run_model(n, names), self.config.target.threads, cancel)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.table(str(self.relation(self.find(name))))
+        return mended(self.spark.table(str(self.relation(self.find(name)))))
 
     def seed(self, *names: str) -> list[str]:
         """Load seeds into tables, all of them if none is named."""

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from loomery import queries as q
@@ -28,3 +30,25 @@ def test_plans(spark):
     lines, part = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("lineitem", "part"))
     assert "LeftAnti" in plan(checks.relationships(lines, "l_partkey", part, "p_partkey"))
     assert plan(checks.profile(part.select("p_partkey", "p_size"))).count("FileScan") == 1
+
+
+ORDERED = {  # the order isn't among the subquery's columns
+    "lateral": "SELECT c.c_custkey, o.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) o",
+    "offset": "SELECT c.c_custkey, o.k FROM customer c, LATERAL (SELECT o_orderkey + 1 AS k FROM orders WHERE o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2 OFFSET 1) o",
+    "left": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) o ON true",
+    "scalar": "SELECT c.c_custkey, (SELECT o_orderkey FROM orders WHERE o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS k FROM customer c",
+    "inner": "SELECT c.c_custkey, o.n FROM customer c, LATERAL (SELECT COUNT(*) AS n, MAX(o_orderkey) AS k FROM (SELECT o_orderkey FROM orders WHERE o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t) o",
+}
+
+
+@pytest.mark.parametrize("name", list(ORDERED))
+def test_ordered_limits_of_subqueries(spark, con, name):
+    """The windows that stand for them have an order of their own: rows may arrive in any."""
+    from loomery.operators.replan import mended
+
+    for t in ("customer", "orders"):
+        spark.read.parquet(f"{SMALL}/{t}.parquet").createOrReplaceTempView(t)
+    df = mended(spark.sql(ORDERED[name]))
+    windows = re.findall(r"row_number\(\) windowspecdefinition\([^\n]*", df._jdf.queryExecution().optimizedPlan().toString())
+    assert windows and all("o_totalprice" in w and "DESC" in w for w in windows)
+    assert_same(df, con, ORDERED[name])
