@@ -80,7 +80,7 @@ def schema_gen(project: Project, *selectors: str, write: bool = True) -> dict[st
         if project.materialization(project.files[name]) == "ephemeral":
             continue
         path, s, m = _schema_of(project, name)
-        m.update(update_columns(m, project.table(name).columns))
+        m.update(update_columns(m, [c for c, _ in project.columns_of(str(project.relation(project.files[name])))]))
         for c in m["columns"]:
             if c["name"] in project.docs and not c.get("description"):
                 c["description"] = f"{{{{ doc(\"{c['name']}\") }}}}"

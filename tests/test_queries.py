@@ -52,3 +52,49 @@ def test_ordered_limits_of_subqueries(spark, con, name):
     windows = re.findall(r"row_number\(\) windowspecdefinition\([^\n]*", df._jdf.queryExecution().optimizedPlan().toString())
     assert windows and all("o_totalprice" in w and "DESC" in w for w in windows)
     assert_same(df, con, ORDERED[name])
+
+
+NUMBERED = {
+    "two": "SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY NULLIF(o_orderstatus, 'F') DESC NULLS LAST, o_orderkey) AS a, ROW_NUMBER() OVER (ORDER BY NULLIF(o_orderstatus, 'F') NULLS FIRST, o_orderkey) AS b FROM orders",
+    "same_order": "SELECT o_orderkey AS k, o_orderkey AS k2, ROW_NUMBER() OVER w AS a, ROW_NUMBER() OVER w + 1 AS b FROM orders WINDOW w AS (ORDER BY o_totalprice DESC, o_orderkey)",
+    "grouped": "SELECT o_custkey, n, ROW_NUMBER() OVER (ORDER BY n DESC, o_custkey) AS r FROM (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) t",
+    "united": "SELECT 1 AS s, o_orderkey AS k, ROW_NUMBER() OVER (ORDER BY o_orderkey DESC) AS r FROM orders UNION ALL SELECT 2, c_custkey, ROW_NUMBER() OVER (ORDER BY c_custkey DESC) FROM customer",
+    "joined": "SELECT a.k, a.r, b.r AS r2 FROM (SELECT o_orderkey AS k, ROW_NUMBER() OVER (ORDER BY o_orderkey) AS r FROM orders) a JOIN (SELECT o_orderkey AS k, ROW_NUMBER() OVER (ORDER BY o_orderkey DESC) AS r FROM orders) b ON a.k = b.k WHERE a.r % 2 = 0",
+    "nothing": "SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderkey) AS r FROM orders WHERE o_orderkey < 0",
+}
+
+
+@pytest.mark.parametrize("name", list(NUMBERED))
+def test_numbers_of_all_rows(spark, con, name, monkeypatch):
+    """No window sorts all rows in one task."""
+    from loomery.operators import replan
+
+    monkeypatch.setattr(replan, "RANGE_BYTES", 500)
+    for t in ("customer", "orders"):
+        spark.read.parquet(f"{SMALL}/{t}.parquet").createOrReplaceTempView(t)
+    df = replan.mended(spark.sql(NUMBERED[name]))
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert_same(df, con, NUMBERED[name])
+    assert df.rdd.getNumPartitions() > 4 or name in ("joined", "nothing")
+
+
+def test_numbers_of_equal_rows(spark, monkeypatch):
+    """Rows that are equal in the order are dealt too, and each number is given once."""
+    from loomery.operators import replan
+
+    monkeypatch.setattr(replan, "RANGE_BYTES", 500)
+    spark.read.parquet(f"{SMALL}/orders.parquet").createOrReplaceTempView("orders")
+    df = replan.mended(spark.sql("SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderkey < 0) AS r FROM orders"))
+    sizes = df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) > 4 and max(sizes) < sum(sizes) / 2
+    assert sorted(r.r for r in df.collect()) == list(range(1, sum(sizes) + 1))
+
+
+def test_first_numbers_are_left_alone(spark):
+    from loomery.operators.replan import mended
+
+    spark.read.parquet(f"{SMALL}/orders.parquet").createOrReplaceTempView("orders")
+    for sql in ("SELECT * FROM (SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 3", "SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders"):
+        df = spark.sql(sql)
+        assert mended(df) is df
+    assert mended(spark.sql("SELECT COUNT(*) AS n FROM (SELECT ROW_NUMBER() OVER (ORDER BY o_orderkey) AS r FROM orders)")).collect()[0].n == 1500
