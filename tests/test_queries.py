@@ -98,3 +98,25 @@ def test_first_numbers_are_left_alone(spark):
         df = spark.sql(sql)
         assert mended(df) is df
     assert mended(spark.sql("SELECT COUNT(*) AS n FROM (SELECT ROW_NUMBER() OVER (ORDER BY o_orderkey) AS r FROM orders)")).collect()[0].n == 1500
+
+
+APART = {  # with the SQL that DuckDB runs; the sketch is exact for few values
+    "whole": ("SELECT ABS(APPROX_COUNT_DISTINCT(l_partkey) - COUNT(DISTINCT l_partkey)) <= 0.15 * COUNT(DISTINCT l_partkey) AS near, APPROX_COUNT_DISTINCT(l_returnflag) AS few, COUNT(*) AS n FROM lineitem", "SELECT true AS near, COUNT(DISTINCT l_returnflag) AS few, COUNT(*) AS n FROM lineitem"),
+    "grouped": ("SELECT NULLIF(l_returnflag, 'A') AS f, l_linestatus, COUNT(DISTINCT l_partkey) + MAX(l_quantity) AS d, COUNT(DISTINCT l_suppkey, l_linenumber) AS e, APPROX_COUNT_DISTINCT(l_linenumber) AS few, CONCAT(NULLIF(l_returnflag, 'A'), '!') AS g FROM lineitem GROUP BY NULLIF(l_returnflag, 'A'), l_linestatus HAVING COUNT(*) > 1",
+                "SELECT NULLIF(l_returnflag, 'A') AS f, l_linestatus, COUNT(DISTINCT l_partkey) + MAX(l_quantity) AS d, COUNT(DISTINCT (l_suppkey, l_linenumber)) AS e, COUNT(DISTINCT l_linenumber) AS few, NULLIF(l_returnflag, 'A') || '!' AS g FROM lineitem GROUP BY 1, 2, 6 HAVING COUNT(*) > 1"),
+    "rollup": ("SELECT l_returnflag, l_linestatus, COUNT(DISTINCT l_partkey) AS d, APPROX_COUNT_DISTINCT(l_linenumber) AS few FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", "SELECT l_returnflag, l_linestatus, COUNT(DISTINCT l_partkey) AS d, COUNT(DISTINCT l_linenumber) AS few FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"),
+    "filtered": ("SELECT COUNT(DISTINCT l_partkey) FILTER (WHERE l_quantity > 25) AS d, APPROX_COUNT_DISTINCT(l_linenumber) FILTER (WHERE l_quantity < 0) AS few FROM lineitem", "SELECT COUNT(DISTINCT l_partkey) FILTER (WHERE l_quantity > 25) AS d, CAST(0 AS BIGINT) AS few FROM lineitem"),
+    "nothing": ("SELECT COUNT(DISTINCT l_partkey) AS d, APPROX_COUNT_DISTINCT(l_partkey) AS few FROM lineitem WHERE l_partkey < 0", "SELECT COUNT(DISTINCT l_partkey) AS d, CAST(0 AS BIGINT) AS few FROM lineitem WHERE l_partkey < 0"),
+}
+
+
+@pytest.mark.parametrize("name", list(APART))
+def test_sketches_apart_from_distinct_values(spark, con, name):
+    """No sketch is held for each distinct value: none is in an aggregate that is grouped by the values too."""
+    from loomery.operators.replan import mended
+
+    spark.read.parquet(f"{SMALL}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    df = mended(spark.sql(APART[name][0]))
+    sketched = [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "approx_count_distinct" in line and "Aggregate(" in line]
+    assert sketched and not any(re.search(r"keys=\[[^\]]*l_(part|supp)key|\bdistinct ", line) for line in sketched)
+    assert_same(df, con, APART[name][1])
