@@ -120,3 +120,33 @@ def test_sketches_apart_from_distinct_values(spark, con, name):
     sketched = [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "approx_count_distinct" in line and "Aggregate(" in line]
     assert sketched and not any(re.search(r"keys=\[[^\]]*l_(part|supp)key|\bdistinct ", line) for line in sketched)
     assert_same(df, con, APART[name][1])
+
+
+COUNTED = {
+    "near": "SELECT p_partkey, COUNT(*) OVER (ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS n FROM part",
+    "nulls": "SELECT p_partkey, p_size, COUNT(*) OVER (ORDER BY NULLIF(p_size, 9) DESC NULLS LAST RANGE BETWEEN CURRENT ROW AND 5 FOLLOWING) AS n FROM part",
+    "none": "SELECT p_partkey, COUNT(*) OVER (ORDER BY p_size RANGE BETWEEN 100 FOLLOWING AND 200 FOLLOWING) AS n FROM part",
+    "running": "SELECT p_partkey, COUNT(*) OVER (ORDER BY p_brand) AS n, COUNT(1) OVER (ORDER BY p_brand DESC) + 1 AS m FROM part",
+    "joined": "SELECT a.p_partkey, a.n, b.n AS m FROM (SELECT p_partkey, COUNT(*) OVER (ORDER BY p_size) AS n FROM part) a JOIN (SELECT p_partkey, COUNT(*) OVER (ORDER BY p_size DESC) AS n FROM part) b ON a.p_partkey = b.p_partkey",
+}
+
+
+@pytest.mark.parametrize("name", list(COUNTED))
+def test_counts_of_all_rows(spark, con, name):
+    """The window runs over the values and their counts, not over all rows."""
+    from loomery.operators.replan import mended
+
+    spark.read.parquet(f"{SMALL}/part.parquet").createOrReplaceTempView("part")
+    df = mended(spark.sql(COUNTED[name]))
+    windows = re.findall(r"windowspecdefinition", df._jdf.queryExecution().optimizedPlan().toString())
+    assert windows and "Window [count(1)" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert_same(df, con, COUNTED[name])
+
+
+def test_other_windows_are_left_alone(spark):
+    from loomery.operators.replan import mended
+
+    spark.read.parquet(f"{SMALL}/part.parquet").createOrReplaceTempView("part")
+    for over in ("COUNT(*) OVER (ORDER BY p_size ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)", "COUNT(NULLIF(p_size, 3)) OVER (ORDER BY p_size)", "RANK() OVER (ORDER BY p_size)"):
+        df = spark.sql(f"SELECT p_partkey, {over} AS n FROM part")
+        assert mended(df) is df
